@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a text are what lies between these characters.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -38,3 +39,20 @@ def unused(df: DataFrame, name: str) -> str:
 def split_of(id_col: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def smallest_by_class(df: DataFrame, by: str, id_col: str, rows: int, most_classes: int = 1000) -> DataFrame:
+    """Of each value of ``by`` the ``rows`` rows whose id has the smallest hash: a sample whose size
+    depends on the number of classes alone. Raises where ``by`` has more than ``most_classes`` values."""
+    counts = {r[by]: r["count"] for r in df.groupBy(by).count().limit(most_classes + 1).collect()}
+    if len(counts) > most_classes:
+        raise ValueError(f"{by} has more than {most_classes} values")
+    if not counts:
+        return df.limit(0)
+    order, last, k = unused(df, "order"), unused(df, "last"), unused(df, "k")
+    # Hashes are even, so four times the wanted share of them leaves enough rows and bounds what the window sorts.
+    near = [(c, -(2**63) + min(2**64 - 1, 4 * rows * 2**64 // n)) for c, n in counts.items()]
+    near = df.sparkSession.createDataFrame(near, T.StructType([T.StructField(by, df.schema[by].dataType), T.StructField(last, T.LongType())]))
+    first = Window.partitionBy(by).orderBy(order, id_col)
+    kept = df.withColumn(order, F.xxhash64(F.col(id_col))).join(F.broadcast(near), by).where(F.col(order) <= F.col(last))
+    return kept.withColumn(k, F.row_number().over(first)).where(F.col(k) <= rows).select(*df.columns)

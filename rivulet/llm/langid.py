@@ -19,11 +19,11 @@ from __future__ import annotations
 import functools
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, split_of
+from .common import read, smallest_by_class, split_of
 
 NAME = "op2_langid"
 ORACLE_SQL = None
@@ -43,24 +43,13 @@ MARGIN = 0.005
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> dict[str, bytes]:
     """Dictionary of each language; learns from all rows of ``df`` that have text and language."""
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("order"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
-    if not counts:
-        return {}
-    # Hashes are even, so four times the wanted share of them leaves enough rows and bounds the window's input.
-    near = [(lang, -(2**63) + min(2**64 - 1, 4 * rows * 2**64 // n)) for lang, n in counts.items()]
-    near = df.sparkSession.createDataFrame(near, "lang string, last long")
-    first = Window.partitionBy("lang").orderBy("order", "text")
     sample = (
-        known.join(F.broadcast(near), "lang").where("order <= last")
-        .select("lang", "order", F.substring("text", 1, ROW_CHARS).alias("text"))
-        .withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("texts"))
+        smallest_by_class(known, "lang", "id", rows, MOST_LANGUAGES)
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.substring("text", 1, ROW_CHARS))).alias("texts"))
     )
-    return {r.lang: _letters(" ".join(t.text for t in r.texts)) for r in sample.collect()}
+    return {r.lang: _letters(" ".join(r.texts)) for r in sample.collect()}
 
 
 @functools.lru_cache(maxsize=1)
