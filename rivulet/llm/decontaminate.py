@@ -3,10 +3,10 @@
 The index holds test items; every passage of every training document is a query. Passages are
 windows of twice the longest item's words at steps of that length, so each item lies whole in some
 passage. An item's BM25 weights are divided by their sum, so that a passage's score is the share
-(0 to 1) of the item's weight that it holds, and all items at or above ``THRESHOLD`` are retrieved. A bound over a
-passage's distinct words (each word's largest weight) drops most passages at once; the rest
-walk the postings with WAND pivots, where the largest weight of a block of postings decides whether
-it is read or skipped. Each retrieved item is then verified by its five-word shingles: the shares of the
+(0 to 1) of the item's weight that it holds, and all items at or above ``THRESHOLD`` are retrieved. Postings are
+cut into blocks at every ``BLOCK`` items, and a passage's words' largest weights in a block bound what any
+item in it can reach. Blocks below the threshold are skipped unread, for most passages all of them; the others
+are walked with WAND pivots. Each retrieved item is then verified by its five-word shingles: the shares of the
 question's and of the answer's that the whole document holds. The answer is what follows the
 last question mark, or the last sentence where there is none; without a second part the item is all question.
 
@@ -21,7 +21,9 @@ separate items with the same name; texts of any length are read whole; other col
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ ORACLE_SQL = None
 K1, B = 1.2, 0.75
 #: Least share of an item's BM25 weight in a passage, and of its shingles in a document.
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.75, 5
-#: Postings in a block, and in a shard of the index that tasks hold at once.
-BLOCK, MOST_POSTINGS = 32, 2_000_000
+#: Items in a block, and in a shard of the index that tasks hold at once.
+BLOCK, MOST_POSTINGS = 4, 2_000_000
 
 WORD = re.compile(r"\w+")
 LEAKS = T.ArrayType(
@@ -69,7 +71,7 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Postings of a shard: for each word the item numbers, normalised weights, and each block's last item and largest weight."""
+    """Postings of a shard: for each word the item numbers and normalised weights, and its largest weight in each block of items."""
 
     def __init__(self, items: list[tuple], rarity: dict[str, float], mean: float, threshold: float):
         self.threshold, self.items = threshold, []
@@ -90,69 +92,73 @@ class Index:
             self.items.append((item_id, shingles(q), len(q), shingles(a), len(a), shingles(words), len(words)))
         self.longest = max((x[6] for x in self.items), default=1)
         self.number = {w: k for k, w in enumerate(postings)}
-        self.lists = []
-        for p in postings.values():
-            ids, xs = [i for i, _ in p], [x for _, x in p]
-            ends = [(ids[min(k + BLOCK, len(p)) - 1], max(xs[k : k + BLOCK])) for k in range(0, len(p), BLOCK)]
-            self.lists.append((ids, xs, ends, max(xs)))
-        self.most = np.array([p[3] for p in self.lists] + [0.0])
+        self.lists = [([i for i, _ in p], [x for _, x in p]) for p in postings.values()]
+        self.blocks = len(self.items) // BLOCK + 1
+        most = [{} for _ in self.lists]
+        for own, (ids, xs) in zip(most, self.lists):
+            for i, x in zip(ids, xs):
+                own[i // BLOCK] = max(x, own.get(i // BLOCK, 0.0))
+        self.most = most
+        self.starts = np.cumsum([0, *map(len, most)])
+        self.block = np.array([b for own in most for b in own], np.int64)
+        self.largest = np.array([x for own in most for x in own.values()])
+
+    def bounds(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """[row, block]: the sum of the largest weights of a row's terms in each block."""
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(np.repeat(rows, sizes) * self.blocks + self.block[at], self.largest[at], n * self.blocks).reshape(n, self.blocks)
 
     def retrieve(self, terms: list[int]) -> dict[int, float]:
         """All items whose weight in ``terms`` reaches the threshold, by block-max WAND."""
         least, out = self.threshold - 1e-9, {}
-        open_ = [[self.lists[t][0][0], 0, *self.lists[t]] for t in terms]  # current item, place, ids, weights, blocks, largest
-        while open_:
-            open_.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(open_):
-                bound += c[5]
-                if bound >= least:
-                    pivot = k
+        bounds = self.bounds(np.zeros(len(terms), np.int64), np.array(terms, np.int64), 1)[0]
+        for block in np.flatnonzero(bounds >= least).tolist():
+            first, end = block * BLOCK, (block + 1) * BLOCK
+            open_ = []  # current item, place, end of the block's postings, ids, weights, largest weight
+            for t in terms:
+                if largest := self.most[t].get(block):
+                    ids, xs = self.lists[t]
+                    at = bisect_left(ids, first)
+                    open_.append([ids[at], at, bisect_left(ids, end, at), ids, xs, largest])
+            while open_:
+                open_.sort(key=lambda c: c[0])
+                bound, pivot = 0.0, -1
+                for k, c in enumerate(open_):
+                    bound += c[5]
+                    if bound >= least:
+                        pivot = k
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            item = open_[pivot][0]
-            while pivot + 1 < len(open_) and open_[pivot + 1][0] == item:
-                pivot += 1
-            bound, until = 0.0, open_[pivot + 1][0] if pivot + 1 < len(open_) else len(self.items)
-            for c in open_[: pivot + 1]:
-                end, largest = next(((e, m) for e, m in c[4][c[1] // BLOCK :] if e >= item), (len(self.items), 0.0))
-                bound += largest
-                until = min(until, end + 1)
-            if bound >= least and open_[0][0] == item:
-                if (score := sum(c[3][c[1]] for c in open_[: pivot + 1])) >= least:
-                    out[item] = score
-                to = item + 1
-            else:
-                to = item if bound >= least else max(until, item + 1)
-            for c in open_[: pivot + 1]:
-                ids, at = c[2], c[1]
-                if c[0] >= to:
-                    continue
-                while at < len(ids) and ids[at] < to:
-                    # a whole block that ends before the target is skipped unread
-                    at = (at // BLOCK + 1) * BLOCK if c[4][at // BLOCK][0] < to else at + 1
-                c[1], c[0] = at, ids[at] if at < len(ids) else -1
-            open_ = [c for c in open_ if c[0] >= 0]
+                item = open_[pivot][0]
+                if open_[0][0] == item:
+                    score = sum(c[4][c[1]] for c in open_ if c[0] == item)
+                    if score >= least:
+                        out[item] = score
+                    item += 1
+                for c in open_:
+                    if c[0] < item:
+                        c[1] = bisect_left(c[3], item, c[1], c[2])
+                        c[0] = c[3][c[1]] if c[1] < c[2] else -1
+                open_ = [c for c in open_ if c[0] >= 0]
         return out
 
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
         if not words or not self.items:
             return []
-        get, none = self.number.get, len(self.lists)
-        terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        # Bound of each step-long block over its distinct words; a passage is two blocks.
+        none = len(self.lists)
+        terms = np.fromiter(map(self.number.get, words, itertools.repeat(none)), np.int64, len(words))
+        # Bounds of each step over its distinct words; a passage is two steps.
         known = np.flatnonzero(terms != none)
-        pairs = np.unique(known // self.longest * (none + 1) + terms[known])
-        bounds = np.bincount(pairs // (none + 1), self.most[pairs % (none + 1)], minlength=len(words) // self.longest + 2)
+        pairs = np.unique(known // self.longest * none + terms[known])
+        bounds = self.bounds(pairs // none, pairs % none, len(words) // self.longest + 2)
         found: dict[int, float] = {}
-        for k in np.flatnonzero(bounds[:-1] + bounds[1:] >= self.threshold - 1e-9):
-            passage = terms[k * self.longest : (k + 2) * self.longest]
-            distinct = np.unique(passage[passage != none])
-            if self.most[distinct].sum() >= self.threshold - 1e-9:
-                for item, score in self.retrieve(distinct.tolist()).items():
-                    found[item] = max(score, found.get(item, 0.0))
+        for k in np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= self.threshold - 1e-9):
+            passage = np.unique(terms[k * self.longest : (k + 2) * self.longest])
+            for item, score in self.retrieve(passage[passage != none].tolist()).items():
+                found[item] = max(score, found.get(item, 0.0))
         if not found:
             return []
         own = {n: shingles(words) if n >= SHINGLE else set(zip(*(words[k:] for k in range(n)))) for n in {min(SHINGLE, m) for i in found for m in self.items[i][2:7:2]} if n}
