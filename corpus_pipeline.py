@@ -1,8 +1,73 @@
-"""A corpus pipeline of five training-data operators (filled in below as they are added)."""
+"""A corpus pipeline of five training-data operators.
 
-STAGES = []
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's ``docs``. All stages but the last return the columns of ``documents``; ``n_chars`` follows the
+text. Documents with an id that occurs more than once, or with none, pass through as they are judged.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.llm import bpe, decontaminate, jaccard, langid, lines
+from rivulet.llm.common import read
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; those without one or with a narrow margin go."""
+    found = langid.identify(docs, langid.fit(docs))
+    return found.where("accepted").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones go; a document left without lines stays, with an empty text."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays, that of the smallest id."""
+    return jaccard.keep_one(docs).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).where("size(leaks) = 0").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether decoding gives the text back."""
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    back = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return bpe.decode(ids).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: Language ID, BM25 retrieval and BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``documents``. Stages meet in the cluster's shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            if folder:
+                docs.write.parquet(path := f"{folder}/pipeline-{uuid.uuid4().hex}/{k}")
+                docs = spark.read.parquet(path)
+            else:
+                from rivulet.llm.common import saved
+
+                docs = saved(docs)
+    return docs
