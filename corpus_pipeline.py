@@ -7,13 +7,11 @@ text. Documents with an id that occurs more than once, or with none, pass throug
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import bpe, decontaminate, jaccard, langid, lines
-from rivulet.llm.common import read
+from rivulet.llm.common import read, saved
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for ``documents``. Stages meet in the cluster's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            if folder:
-                docs.write.parquet(path := f"{folder}/pipeline-{uuid.uuid4().hex}/{k}")
-                docs = spark.read.parquet(path)
-            else:
-                from rivulet.llm.common import saved
-
-                docs = saved(docs)
+        docs = saved(docs) if k + 1 < len(STAGES) else docs
     return docs

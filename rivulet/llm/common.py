@@ -18,14 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's shared folder, so that it is computed once and
-    outlives executors. Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a
-    temporary folder is set."""
+    """``df`` as a table in the cluster's shared folder (``spark.checkpoint.dir``), read again: computed once,
+    independent of executors, and without its lineage. Only where the setting is unset (single-machine tests) a
+    temporary folder takes its place."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    df.write.parquet(path := f"{folder}/rivulet-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:

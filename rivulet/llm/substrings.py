@@ -126,7 +126,7 @@ def paths(docs: DataFrame) -> DataFrame:
             a, c, at, n = map(pa.array, cols)
             yield pa.RecordBatch.from_arrays([a, c, ids, at, n], names=["anchor", "content", "id", "at", "edges"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("at", T.IntegerType()), T.StructField("edges", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("id", docs.schema[0].dataType), T.StructField("at", T.IntegerType()), T.StructField("edges", T.IntegerType())]))
 
 
 def _edges(asked: DataFrame) -> DataFrame:
@@ -149,12 +149,12 @@ def _edges(asked: DataFrame) -> DataFrame:
             places = (at - p.offset[at]).astype(np.int32) if len(at) else np.array([], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(hashes.view(np.int64)), ids, pa.array(places)], names=["anchor", "edge", "id", "at"])
 
-    return asked.mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("id", asked.schema["id"].dataType), T.StructField("at", T.IntegerType())]))
+    return asked.mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("id", asked.schema[0].dataType), T.StructField("at", T.IntegerType())]))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, until, source, source_start): spans of words whose edges all start earlier too."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(id_col, text_col)
     every = paths(docs)
     often = every.groupBy("anchor").count().where("count > 1").select("anchor")
     repeated = saved(every.join(often, "anchor"))
@@ -164,7 +164,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     branching = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
     asked = firsts.join(branching, "anchor", "left_semi").groupBy(F.col("first.id").alias("asked")).agg(F.collect_set("first.at").alias("starts"))
-    edges = _edges(docs.join(asked, F.col("id").eqNullSafe(F.col("asked"))).select("id", "text", "starts"))
+    # The same exchange of the texts serves this join, for both its readers, and the join with the spans.
+    edges = _edges(docs.join(asked, F.col(id_col).eqNullSafe(F.col("asked"))).select(id_col, text_col, "starts"))
     first_edges = edges.groupBy("anchor", "edge").agg(place, F.count("*").alias("n")).where("n > 1").drop("n")
     later_edges = edges.join(first_edges, ["anchor", "edge"]).where("struct(id, at) <> first")
 
