@@ -5,7 +5,7 @@ member of the join. Under any global order of the tokens, two sets that reach th
 their prefixes (a set's first n - ceil(t n) + 1 tokens), at places that leave enough tokens behind them. Three orders are intersected:
 
 1. by frequency, then hash: the tokens that are most often repeated, counted over all documents, come last.
-   A shuffle by token finds the prefix tokens that several sets hold; frequent tokens are known to be repeated and need none.
+   A shuffle by token finds the prefix tokens that several sets hold.
 2. by another hash, ascending, and 3. the same, descending: checked on each candidate pair before its sets are intersected.
 
 Links are only needed until their components are known, so pairs within a component are never listed. Each token's
@@ -36,6 +36,8 @@ SHINGLE = 5
 OVER, UNDER = 3, 4
 #: Tokens known as frequent (a bounded broadcast), tokens a task counts at once, and the count from which it reports one.
 FREQUENT, COUNTED, REPORTED = 100_000, 3_000_000, 4
+#: Most ids that a join may broadcast, after they have been counted; more are shuffled.
+MOST_BROADCAST = 500_000
 #: Rounds with one pivot for each token.
 ROUNDS = 2
 
@@ -204,17 +206,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(ok).select("a", "b")
 
 
+def _fetched(docs: DataFrame, own: DataFrame, sids: DataFrame) -> DataFrame:
+    """The whole sets of some sids, each from the text of one document that has it."""
+    reps = saved(own.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("rep")))
+    few = reps.count() <= MOST_BROADCAST
+    return saved(token_sets(docs.join(F.broadcast(reps) if few else reps, F.col("id").eqNullSafe(F.col("rep"))).select("id", "text", "sid")))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: the smallest id that links reach."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = saved(members(docs))
-    every = prefixes(docs, frequent_tokens(docs))
-    rare = every.where("not often").selectExpr("token", "sid", "size", "at", "min(sid) over (partition by token) <> max(sid) over (partition by token) as several").where("several").drop("several")
-    posts = saved(every.where("often").drop("often").unionByName(rare).distinct())
-    wanted = posts.select("sid").distinct().join(own.groupBy("sid").agg(F.min("id").alias("rep")), "sid")
-    sets = saved(token_sets(docs.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("id", "text", "sid")))
+    # Frequent tokens are known to be repeated: they are dealt by set as well, so that none fills a partition.
+    posts = saved(
+        prefixes(docs, frequent_tokens(docs)).withColumn("salt", F.when(F.col("often"), F.col("sid")))
+        .selectExpr("token", "sid", "size", "at", "often or min(sid) over (partition by token, salt) <> max(sid) over (partition by token, salt) as several")
+        .where("several").drop("several").distinct()
+    )
 
-    links, comps = None, None
+    links = sets = comps = None
     for k in range(ROUNDS + 1):
         now = posts.withColumn("comp", F.col("sid")) if comps is None else (
             posts.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -229,9 +239,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             largest = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).getField("comp").alias("most"), F.count("*").alias("comps")).where("comps > 1")
             some = now.join(largest.select("token", "most"), "token")
             met = some.where("comp <> most").select("token", row.alias("p")).join(some.select("token", row.alias("q")), "token")
-        found = _pairs(met.where((F.col("p.comp") != F.col("q.comp")) & _possible("p", "q")))
-        new = saved(_verified(found, sets))
-        links = new if links is None else links.unionByName(new)
+        found = saved(_pairs(met.where((F.col("p.comp") != F.col("q.comp")) & _possible("p", "q"))))
+        sids = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        new = _fetched(docs, own, sids if sets is None else sids.join(sets, "sid", "left_anti"))
+        sets = new if sets is None else sets.unionByName(new)
+        linked = saved(_verified(found, sets))
+        links = linked if links is None else links.unionByName(linked)
         comps = components(links)
 
     joined = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
