@@ -35,7 +35,7 @@ SHINGLE = 5
 #: The threshold as a fraction.
 OVER, UNDER = 3, 4
 #: Tokens known as frequent (a bounded broadcast), tokens a task counts at once, and the count from which it reports one.
-FREQUENT, COUNTED, REPORTED = 100_000, 3_000_000, 4
+FREQUENT, COUNTED, REPORTED = 100_000, 1_500_000, 3
 #: Most ids that a join may broadcast, after they have been counted; more are shuffled.
 MOST_BROADCAST = 500_000
 #: Rounds with one pivot for each token.

@@ -35,7 +35,7 @@ NAME = "op1_substring_dedup"
 
 WINDOW, ANCHOR = 20, 6
 #: Words whose hash a task remembers; beyond it the memory is emptied, which changes the speed only.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Odd multipliers of the rolling hash and of the final mix.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)

@@ -50,8 +50,12 @@ def test_nulls_empty_tables_repeats_and_clashing_columns(spark):
     assert empty.count() == 0 and {"ids", "decoded"} <= set(empty.columns)
 
 
-def test_forgetting_pieces_changes_nothing(spark, monkeypatch):
+def test_forgetting_pieces_changes_nothing(spark):
     df = docs(spark, [(i, f"word{i % 97} other{i}") for i in range(3000)]).coalesce(1)
     first = {r.doc_id: r.ids for r in bpe.encode(df).collect()}
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
-    assert {r.doc_id: r.ids for r in bpe.encode(df).collect()} == first
+    assert {r.doc_id: r.ids for r in bpe.encode(df, remembered=10).collect()} == first
+
+
+def test_null_ids_decode_to_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, [64, 275]), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(df).collect()} == {1: "", 2: "a b", 3: ""}
