@@ -61,7 +61,7 @@ def trigram_query(pattern: str) -> set[frozenset[str]] | None:
     def close(strings: set[str]) -> None:
         found = {frozenset(s[i : i + 3].lower() for i in range(len(s) - 2)) for s in strings}
         if strings and all(found):
-            options.append(found)
+            options.append({f for f in found if not any(g < f for g in found)})  # A or (A and B) is A
 
     def strings(node) -> set[str] | None:
         """All strings of a node if they are few."""
