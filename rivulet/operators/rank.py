@@ -39,7 +39,8 @@ def by_source(streams: DataFrame, accounts: DataFrame, priority: list[str], acco
 
 def alive(width: str = "width", height: str = "height") -> Column:
     """Unchecked streams count as alive; a measured zero doesn't."""
-    return F.coalesce((F.col(width) != 0) & (F.col(height) != 0), F.col(width).isNull() | F.col(height).isNull())
+    w, h = F.col(width), F.col(height)
+    return w.isNull() | h.isNull() | ((w != 0) & (h != 0))
 
 
 def starved(height: Column, bitrates: list[Column], floor_kbps: float, least_height: int = 720) -> Column:

@@ -284,7 +284,7 @@ def source_priority(spark, d):
 def dead_filter(spark, d):
     """Lines whose width or height isn't a measured zero."""
     li = _t(spark, d, "lineitem").withColumn("width", F.expr("CASE WHEN l_tax = 0 THEN NULL ELSE l_discount END")).withColumn("height", F.expr("CASE WHEN l_quantity = 1 THEN 0 ELSE l_quantity END"))
-    return li.where(F.expr("width is null") | rank.alive()).select("l_orderkey", "l_linenumber")
+    return li.where(rank.alive()).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 40 >= 720 AND (l_tax > 0 OR l_discount > 0) AND greatest(l_tax, l_discount) * 10000 < 300 AS starved FROM lineitem")

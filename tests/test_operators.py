@@ -55,7 +55,7 @@ def test_starved_and_dead(spark):
     rows = [(1080, 193.0, None, True), (1080, 5500.0, None, False), (1080, 299.0, None, True), (1080, 300.0, None, False), (720, 124.0, 389.0, False), (480, 1.0, None, False), (None, 1.0, None, False), (1080, 0.0, None, False)]
     df = spark.createDataFrame(rows, "h int, a double, b double, e boolean").withColumn("x", rank.starved(F.col("h"), [F.col("a"), F.col("b")], 300))
     assert all(r.x == r.e for r in df.collect())
-    df = spark.createDataFrame([(None, None, True), (0, 5, False), (5, 5, True), (None, 5, True)], "width int, height int, e boolean").withColumn("x", rank.alive())
+    df = spark.createDataFrame([(None, None, True), (0, 5, False), (5, 5, True), (None, 5, True), (0, None, True)], "width int, height int, e boolean").withColumn("x", rank.alive())
     assert all(r.x == r.e for r in df.collect())
 
 
