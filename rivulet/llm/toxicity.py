@@ -7,8 +7,8 @@ How rare these words are is counted over all documents. The examples become an i
 postings in a block of ``BLOCK`` examples, and the largest weight among them. Examples are sorted by their
 strongest word, so that most blocks hold little for most queries.
 
-``score`` gives each whole text its ``NEAREST`` examples exactly: blocks are read in the order of their bound
-(largest weights times the query's) until the next bound lies below the worst kept example. The examples
+``score`` gives each whole text its ``NEAREST`` examples exactly: the ``FIRST`` blocks with the largest bounds
+(largest weights times the query's) are read, and then only blocks whose bound reaches the worst example kept. The examples
 vote with their squared cosine as weight, against a prior of ``PRIOR`` votes at the sample's share of label 1 (so that few or distant
 neighbours count for less); they are also the evidence. A text without any word of the vocabulary gets
 the share of label 1 among the examples that have none either. Texts are never shuffled, and the
@@ -40,7 +40,7 @@ ORACLE_SQL = None
 #: Bounds of the fitted sample and vocabulary.
 EXAMPLES, MOST_WORDS = 4000, 4096
 LEAST_ROWS, LEAST_CHI2 = 4, 30.0
-BLOCK, NEAREST, PRIOR = 64, 15, 0.25
+BLOCK, FIRST, NEAREST, PRIOR = 64, 4, 15, 0.25
 
 WORD = re.compile(r"\w+")
 
@@ -51,9 +51,9 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: postings by word and block: largest[word, block]; rows[word][block] -> (places in block, weights)
+    #: the largest weight of a word in a block, and each word's postings: (examples, weights)
     largest: np.ndarray
-    rows: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    rows: list[tuple[np.ndarray, np.ndarray]]
     blank: float
     base: float
 
@@ -67,22 +67,26 @@ class Index:
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k examples with the largest positive cosines, ties to smaller ids."""
         words = list(query)
-        q = np.array([query[w] for w in words])
-        bounds = q @ self.largest[words]
-        kept: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            bound = bounds[block]
-            if bound <= 0 or len(kept) == k and bound < -kept[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
+        bounds = np.array([query[w] for w in words]) @ self.largest[words]
+        scores = np.zeros(len(bounds) * BLOCK)
+
+        def read_blocks(chosen: np.ndarray) -> None:
             for w in words:
-                if (found := self.rows[w].get(int(block))) is not None:
-                    scores[found[0]] += query[w] * found[1]
-            some = np.flatnonzero(scores > 0) + block * BLOCK
-            kept += [(-round(float(scores[e - block * BLOCK]), 12), int(self.ids[e]), int(e)) for e in some]
-            kept.sort()
-            del kept[k:]
-        return [(-s, e) for s, _, e in kept]
+                examples, weights = self.rows[w]
+                own = chosen[examples // BLOCK]
+                scores[examples[own]] += query[w] * weights[own]
+
+        first = np.zeros(len(bounds), bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        read_blocks(first)
+        worst = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        rest = (bounds > 0) & (bounds >= worst - 1e-9) & ~first
+        if rest.any():
+            read_blocks(rest)
+        found = np.flatnonzero(scores > 0)
+        near = np.round(scores[found], 12)
+        best = np.lexsort((self.ids[found], -near))[:k]
+        return list(zip(near[best].tolist(), found[best].tolist()))
 
     def judge(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         query = self.vector(text)
@@ -105,12 +109,12 @@ def build(words: list[str], idf: list[float], examples: list[tuple[int, int, str
     index.ids, index.labels = np.array([i for _, i, _ in full], np.int64), np.array([label for _, _, label in full], np.float64)
     blocks = -(-len(full) // BLOCK)
     index.largest = np.zeros((len(words), blocks))
-    lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in words]
+    lists: list[list[tuple[int, float]]] = [[] for _ in words]
     for place, (vector, _, _) in enumerate(full):
         for w, x in vector.items():
-            lists[w].setdefault(place // BLOCK, []).append((place % BLOCK, x))
+            lists[w].append((place, x))
             index.largest[w, place // BLOCK] = max(x, index.largest[w, place // BLOCK])
-    index.rows = [{b: (np.array([p for p, _ in v]), np.array([x for _, x in v])) for b, v in own.items()} for own in lists]
+    index.rows = [(np.array([p for p, _ in own], np.int64), np.array([x for _, x in own])) for own in lists]
     return index
 
 
