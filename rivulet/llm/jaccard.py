@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from .common import read, saved, unused
-from .substrings import REMEMBERED, _Hashes, _hash_n, _mixed
+from .substrings import _hash_n, _mixed
 
 NAME = "op9_jaccard_join"
 
@@ -44,15 +45,14 @@ ROUNDS = 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _sets(texts, known: _Hashes):
+def _sets(texts):
     """The sorted token hashes of each text."""
     for text in texts:
         words = text.encode().lower().split() if text else []
-        if len(known) > REMEMBERED:
-            known.clear()
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
         if len(words) >= SHINGLE:
-            yield np.unique(_mixed(_hash_n(hashes, SHINGLE)))
+            tokens = np.sort(_mixed(_hash_n(hashes, SHINGLE)))
+            yield tokens[np.append(True, tokens[1:] != tokens[:-1])]
         else:
             yield _mixed(_hash_n(hashes, len(words)) ^ (SALT >> np.uint64(len(words))))[: min(1, len(words))]
 
@@ -73,7 +73,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The tokens most often repeated in (id, text) rows, sorted, and their counts; at most ``FREQUENT``."""
 
     def run(batches):
-        known, held, n = _Hashes(), [], 0
+        held, n = [], 0
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -81,7 +81,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
         for batch in batches:
-            for tokens in _sets((t.as_py() for t in batch.column(1)), known):
+            for tokens in _sets((t.as_py() for t in batch.column(1))):
                 held.append(tokens)
                 n += len(tokens)
                 if n >= COUNTED:
@@ -101,9 +101,8 @@ def members(docs: DataFrame) -> DataFrame:
     """(id, sid, size): the set of each (id, text) row; sid is null where it is empty."""
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
-            found = [(None if not len(s) else _identity(s), len(s)) for s in _sets((t.as_py() for t in batch.column(1)), known)]
+            found = [(None if not len(s) else _identity(s), len(s)) for s in _sets((t.as_py() for t in batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["id", "sid", "size"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("sid", T.LongType()), T.StructField("size", T.LongType())]))
@@ -114,12 +113,11 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        known = _Hashes()
         common, counts = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 out = []
-                for tokens in _sets((t.as_py() for t in batch.column(1).slice(k, 500)), known):
+                for tokens in _sets((t.as_py() for t in batch.column(1).slice(k, 500))):
                     n = len(tokens)
                     if not n:
                         continue
@@ -149,12 +147,11 @@ def token_sets(wanted: DataFrame) -> DataFrame:
     """(sid, tokens): the whole sets, in the second order, of (id, text, sid) rows."""
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 sids, lists = [], []
-                for tokens, sid in zip(_sets((t.as_py() for t in part.column(1)), known), part.column(2).to_pylist()):
+                for tokens, sid in zip(_sets((t.as_py() for t in part.column(1))), part.column(2).to_pylist()):
                     if len(tokens) and _identity(tokens) == sid:
                         sids.append(sid)
                         lists.append(tokens[np.argsort(_mixed(tokens + SALT))].view(np.int64))

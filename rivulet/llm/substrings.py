@@ -23,32 +23,25 @@ other columns pass through, those with the names of the outputs are replaced.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from .common import read, saved, unused
 
 NAME = "op1_substring_dedup"
 
 WINDOW, ANCHOR = 20, 6
-#: Words whose hash a task remembers; beyond it the memory is emptied, which changes the speed only.
-REMEMBERED = 150_000
 
 #: Odd multipliers of the rolling hash and of the final mix.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -57,12 +50,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Paths:
     """The paths of several documents at once: for each its document, start, edges, anchor and content hash."""
 
-    def __init__(self, texts: list[str | None], known: _Hashes):
+    def __init__(self, texts: list[str | None]):
         split = [t.encode().split() if t else [] for t in texts]
         self.sizes = np.array([len(w) for w in split], np.int64)
-        self.words = np.fromiter((h for w in split for h in map(known.__getitem__, w)), np.uint64, int(self.sizes.sum()))
-        if len(known) > REMEMBERED:
-            known.clear()
+        self.words = np.fromiter(map(xxh64_intdigest, itertools.chain.from_iterable(split)), np.uint64, int(self.sizes.sum()))
         ends = np.cumsum(self.sizes)
         n = len(self.words)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
@@ -118,9 +109,8 @@ def paths(docs: DataFrame) -> DataFrame:
     """(anchor, content, id, at, edges) of all paths of (id, text) rows."""
 
     def run(batches):
-        known = _Hashes()
         for part in _in_parts(batches):
-            p = Paths(part.column(1).to_pylist(), known)
+            p = Paths(part.column(1).to_pylist())
             ids = part.column(0).take(pa.array(p.doc[p.start])) if len(p.start) else part.column(0).slice(0, 0)
             cols = [p.anchor.view(np.int64), p.content.view(np.int64), (p.start - p.offset[p.start]).astype(np.int32), p.edges.astype(np.int32)]
             a, c, at, n = map(pa.array, cols)
@@ -133,9 +123,8 @@ def _edges(asked: DataFrame) -> DataFrame:
     """(anchor, edge, id, at) of the single edges of the asked paths; rows (id, text, starts)."""
 
     def run(batches):
-        known = _Hashes()
         for part in _in_parts(batches):
-            p = Paths(part.column(1).to_pylist(), known)
+            p = Paths(part.column(1).to_pylist())
             wanted = part.column(2).to_pylist()
             doc = p.doc[p.start] if len(p.start) else np.array([], np.int64)
             own = (p.start - p.offset[p.start]) if len(p.start) else np.array([], np.int64)
