@@ -7,8 +7,11 @@ that one aggregation with partial sums builds them, however many pages a host ha
 valid when at least two pages and half of the host's pages have it and when its tokens stand in the same order on all of
 them; it is nested in the class that has the tag around it. The valid classes are the host's template: what they leave open are
 slots. Extraction drops text that belongs to the template and slots that are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments (by element, role or the words of class and id), and returns the other slots of the article. Text inside an
-``article`` or ``main`` element is never taken for template text, since pages with the same article are no template.
+notices, adverts, forms, scripts, styles or reader comments (by element, role or the words of class and id), and returns the other slots of the article.
+
+Text inside an ``article`` or ``main`` element is template only if what stands around it differs: at least ``LEAST_CONTENTS``
+and half of the host's distinct contents have it. The content of a page is the text of its article that isn't frequent on the host, nor an edited form of
+frequent text (by the words around the longest one), and counts where it is a tenth of the article or more. So copies and near copies of one article are no template.
 
 Templates are joined to the pages by host; they are broadcast only after their size has been counted
 and found below ``MOST_BROADCAST`` tokens, and else joined by a shuffle that can split a large host.
@@ -34,6 +37,8 @@ NAME = "op3_main_text"
 ORACLE_SQL = None
 
 MOST_BROADCAST = 200_000
+#: Two articles that share a line quote each other; three are the least that show a template.
+LEAST_CONTENTS = 3
 
 #: Fixed values of HTML and of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,7 +65,7 @@ class Page:
     def __init__(self, source: str):
         from xxhash import xxh64_intdigest
 
-        self.tokens: list[tuple[int, int, str]] = []  # token, token around it, label
+        self.tokens: list[tuple[int, int, str, str]] = []  # token, token around it, label, text in an article
         self.texts: list[tuple[int, int, str, bool, bool, int]] = []
         stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, token, shut, in article, container
         block = containers = at = 0
@@ -72,7 +77,7 @@ class Page:
                 _, around, shut, inside, container = stack[-1]
                 token = xxh64_intdigest(words, around & (2**64 - 1)) if words else 0
                 if words and not shut:
-                    self.tokens.append((token, around, "text"))
+                    self.tokens.append((token, around, "text", words if inside else ""))
                 self.texts.append((block, token, entities.unescape(raw), shut, inside, container))
 
         while at < len(source):
@@ -127,7 +132,7 @@ class Page:
             if name in ("html", "body"):
                 furniture = False  # a page's own class says nothing of its parts
             token = xxh64_intdigest(label, around & (2**64 - 1))
-            self.tokens.append((token, around, label))
+            self.tokens.append((token, around, label, ""))
             if name in VOID or m[3].endswith("/") and name in ("svg", "path", "use"):
                 continue
             if name in RAW:
@@ -143,10 +148,10 @@ class Page:
 
     def main_text(self, template: set[int]) -> str:
         open_ = [t for t in self.texts if not t[3]]
+        kept = [t for t in open_ if t[1] not in template or not t[1]]
         if any(t[4] and t[1] for t in open_):
-            kept = [t for t in open_ if t[4]]
+            kept = [t for t in kept if t[4]]
         else:
-            kept = [t for t in open_ if t[1] not in template or not t[1]]
             size: dict[int, int] = {}
             for t in kept:
                 size[t[5]] = size.get(t[5], 0) + len(t[2])
@@ -164,26 +169,36 @@ def _signed(token: int) -> int:
     return token - 2**64 if token >= 2**63 else token
 
 
+def _sketch(text: str) -> int:
+    """A hash of the longest word with its neighbours, which most edits of a text leave alone."""
+    from xxhash import xxh64_intdigest
+
+    words = text.split()
+    k = words.index(max(words, key=lambda w: (len(w), w)))
+    return _signed(xxh64_intdigest(" ".join(words[max(0, k - 1) : k + 2])))
+
+
 def tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, page, token, around, label, n, at): how often and where first each token stands on a page."""
-    kind = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("around", pa.int64()), ("label", pa.string()), ("n", pa.int32()), ("at", pa.int32())])
+    """(host, page, token, around, label, n, at, size, sketch): how often and where first each token stands on a page; the length
+    and sketch of a text in an article, else 0."""
+    kind = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("around", pa.int64()), ("label", pa.string()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("sketch", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 rows = []
                 for host, page, source in zip(*(c.to_pylist() for c in part.columns)):
-                    seen: dict[int, list] = {0: [host, page, 0, 0, "page", 1, -1]}
-                    for k, (token, around, label) in enumerate(Page(source or "").tokens):
+                    seen: dict[int, list] = {0: [host, page, 0, 0, "page", 1, -1, 0, 0]}
+                    for k, (token, around, label, words) in enumerate(Page(source or "").tokens):
                         if token in seen:
                             seen[token][5] += 1
                         else:
-                            seen[token] = [host, page, _signed(token), _signed(around), label, 1, k]
+                            seen[token] = [host, page, _signed(token), _signed(around), label, 1, k, len(words), _sketch(words) if words else 0]
                     rows += seen.values()
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     return pages.select(host_of(url_col).alias("host"), F.col(id_col).cast("long").alias("page"), F.col(html_col).alias("html")).mapInArrow(
-        run, "host string, page long, token long, around long, label string, n int, at int"
+        run, "host string, page long, token long, around long, label string, n int, at int, size int, sketch long"
     )
 
 
@@ -195,7 +210,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(host, class, tokens, labels, n_pages, nested_in): the valid equivalence classes of each host."""
     found = tokens(pages, id_col, url_col, html_col)
     vectors = found.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n_pages"), F.min("around").alias("around"), F.min("label").alias("label")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n_pages"), F.min("around").alias("around"), F.min("label").alias("label"),
+        F.max("size").alias("size"), F.max("sketch").alias("sketch"),
     )
     sizes = vectors.where("token = 0").select("host", F.col("n_pages").alias("host_pages"))
     frequent = saved(vectors.where("n_pages > 1").join(sizes, "host").where("2 * n_pages >= host_pages and token <> 0").drop("host_pages"))
@@ -205,7 +221,9 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         .groupBy("host", "vector").agg(F.min("order").alias("low"), F.max("order").alias("high"))
         .where("low = high").select("host", "vector")
     )
-    valid = frequent.join(order, ["host", "vector"])
+    around_differs = article_template(found.where("size > 0").select("host", "page", "token", "size", "sketch"), frequent.where("size > 0").select("host", "token", "sketch"))
+    kept = frequent.join(around_differs.withColumn("differs", F.lit(True)), ["host", "token"], "left").where("size = 0 or differs")
+    valid = kept.join(order, ["host", "vector"])
     classes = valid.groupBy("host", "vector").agg(
         F.sort_array(F.collect_list(F.struct("token", "label", "around"))).alias("members"), F.max("n_pages").alias("n_pages")
     )
@@ -217,6 +235,20 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
 
 
+def article_template(inside: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(host, token): the ``frequent`` texts in articles that stand among enough distinct contents. ``inside``: all texts in articles."""
+    shared = frequent.select("host", "sketch").distinct().withColumn("shared", F.lit(True))
+    own = F.col("shared").isNull()
+    contents = (
+        inside.join(shared, ["host", "sketch"], "left").groupBy("host", "page")
+        .agg(F.min(F.when(own, F.col("sketch"))).alias("content"), F.sum(F.when(own, F.col("size"))).alias("new"), F.sum("size").alias("size"))
+        .where("10 * new >= size").select("host", "page", "content")
+    )
+    by_host = contents.groupBy("host").agg(F.count_distinct("content").alias("host_contents"))
+    by_token = inside.join(frequent.select("host", "token"), ["host", "token"]).join(contents, ["host", "page"]).groupBy("host", "token").agg(F.count_distinct("content").alias("n_contents"))
+    return by_token.join(by_host, "host").where(f"n_contents >= {LEAST_CONTENTS} and 2 * n_contents >= host_contents").select("host", "token")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pages`` with ``main_text``."""
     passed = [f for f in pages.schema.fields if f.name.lower() not in ("main_text", "template_tokens")]

@@ -60,3 +60,19 @@ def test_defined_cases(spark):
     assert [found[i] for i in range(1, 8)] == ["", "", "plain & simple", "Same story", "Same story", "cut &am", "a"]
     assert found[8].count("\n") == 19999
     assert html.extract(df).count() == 9 and html.extract(df.limit(0)).count() == 0
+
+
+def test_template_inside_articles_is_dropped_and_copies_stay(spark):
+    """Notices and share bars under neutral classes go; copies and near copies of an article on their host stay whole."""
+    page = '<main><div class="x1">You are reading our daily letter for friends</div><h1>Title {0}</h1><p>Story {0} of a day in {0}</p><div class="x2"><span>Send to a friend</span><p>Print this page</p></div></main>'
+    copy = ["The fox went over long hills", "It rained for seventeen days there", "Nobody in townsquare knew why", "Then everything ended well enough"]
+    edited = lambda i: "<article>" + "".join(f"<p>{p} {'now' * (i % 4 == k)}{i if i % 4 == k else ''}</p>" for k, p in enumerate(copy)) + "</article>"
+    rows = [(i, "http://a.example/", page.format(f"w{i}")) for i in range(8)]
+    rows += [(20 + i, "http://b.example/", "<article>" + "".join(f"<p>{p}</p>" for p in copy) + "</article>") for i in range(6)]
+    rows += [(40 + i, "http://c.example/", edited(i)) for i in range(8)]
+    rows += [(60 + i, "http://d.example/", f"<article><p>Quoted line of both</p><p>Own {i} text {i}</p></article>") for i in range(2)]
+    found = texts(pages(spark, rows))
+    assert all(found[i] == f"Title w{i}\nStory w{i} of a day in w{i}" for i in range(8))
+    assert all(found[20 + i] == "\n".join(copy) for i in range(6))
+    assert all(found[40 + i].count("\n") == 3 for i in range(8))
+    assert all(found[60 + i] == f"Quoted line of both\nOwn {i} text {i}" for i in range(2))
