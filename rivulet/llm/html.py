@@ -18,7 +18,7 @@ and found below ``MOST_BROADCAST`` tokens, and else joined by a shuffle that can
 
 Defined cases: null or empty html gives an empty text; a null url belongs to the host ''; hosts of one page have no
 template and keep all slots of the article; broken or cut markup is read as far as it goes; without an
-article the element with the most remaining text in paragraphs is taken; repeated rows are repeated pages; other columns pass through.
+article the smallest element that holds all remaining text besides links is taken whole; repeated rows are repeated pages; other columns pass through.
 """
 
 from __future__ import annotations
@@ -60,25 +60,26 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^
 
 
 class Page:
-    """Tokens and text of one page. Each text node: (block, token, text, shut, in article, container)."""
+    """Tokens and text of one page. Each text node: (block, token, text, shut, in article, container, in a link)."""
 
     def __init__(self, source: str):
         from xxhash import xxh64_intdigest
 
         self.tokens: list[tuple[int, int, str, str]] = []  # token, token around it, label, text in an article
-        self.texts: list[tuple[int, int, str, bool, bool, int]] = []
-        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, token, shut, in article, container
-        block = containers = at = 0
+        self.texts: list[tuple[int, int, str, bool, bool, int, bool]] = []
+        self.outer = [0]  # the container around each container
+        stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]  # name, token, shut, in article, container, in a link
+        block = at = 0
         lower = source.lower()
 
         def text(raw: str) -> None:
             words = " ".join(entities.unescape(raw).split()) if raw else ""
             if words or raw:
-                _, around, shut, inside, container = stack[-1]
+                _, around, shut, inside, container, link = stack[-1]
                 token = xxh64_intdigest(words, around & (2**64 - 1)) if words else 0
                 if words and not shut:
                     self.tokens.append((token, around, "text", words if inside else ""))
-                self.texts.append((block, token, entities.unescape(raw), shut, inside, container))
+                self.texts.append((block, token, entities.unescape(raw), shut, inside, container, link))
 
         while at < len(source):
             m = MARKUP.search(source, at)
@@ -115,7 +116,7 @@ class Page:
                     if stack[k][0] == name or {stack[k][0], name} <= {"dt", "dd"} or {stack[k][0], name} <= {"td", "th"}:
                         del stack[k:]
                         break
-            _, around, shut, inside, container = stack[-1]
+            _, around, shut, inside, container, link = stack[-1]
             label, furniture = name, name in OUTSIDE
             if m[3].strip():
                 for key, *values in ATTRIBUTE.findall(m[3]):
@@ -138,13 +139,13 @@ class Page:
             if name in RAW:
                 end = lower.find(f"</{name}", at)
                 at = len(source) if end < 0 else end
-                stack.append((name, token, True, inside, container))
+                stack.append((name, token, True, inside, container, link))
                 continue
             inside = inside or name in ("article", "main")
             if name not in INLINE and name != "p":
-                containers += 1
-                container = containers
-            stack.append((name, token, shut or furniture, inside, container))
+                self.outer.append(container)
+                container = len(self.outer) - 1
+            stack.append((name, token, shut or furniture, inside, container, link or name == "a" and not re.fullmatch("h[1-6]", stack[-1][0])))
 
     def main_text(self, template: set[int]) -> str:
         open_ = [t for t in self.texts if not t[3]]
@@ -152,12 +153,19 @@ class Page:
         if any(t[4] and t[1] for t in open_):
             kept = [t for t in kept if t[4]]
         else:
-            size: dict[int, int] = {}
-            for t in kept:
-                size[t[5]] = size.get(t[5], 0) + len(t[2])
-            best = max(size, key=lambda c: (size[c], -c), default=None)
-            # Containers with a fair share of the largest one's text are parts of the same article.
-            kept = [t for t in kept if size[t[5]] * 10 >= size[best]]
+            # Lengths summed up to all ancestors; of the elements with the largest sum the innermost. Outer elements have smaller numbers.
+            prose = [t for t in kept if t[1] and not t[6]] or [t for t in kept if t[1]]
+            size, best, within = [0] * len(self.outer), 0, [False] * len(self.outer)
+            for t in prose:
+                size[t[5]] += len(t[2])
+            for c in range(len(size) - 1, 0, -1):
+                size[self.outer[c]] += size[c]
+            for c in range(1, len(size)):
+                if size[c] == size[0] and self.outer[c] == best:
+                    best = c
+            for c in range(len(size)):
+                within[c] = c == best or c > best and within[self.outer[c]]
+            kept = [t for t in kept if within[t[5]]]
         blocks: dict[int, list[str]] = {}
         for t in kept:
             blocks.setdefault(t[0], []).append(t[2])

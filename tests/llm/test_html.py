@@ -76,3 +76,13 @@ def test_template_inside_articles_is_dropped_and_copies_stay(spark):
     assert all(found[20 + i] == "\n".join(copy) for i in range(6))
     assert all(found[40 + i].count("\n") == 3 for i in range(8))
     assert all(found[60 + i] == f"Quoted line of both\nOwn {i} text {i}" for i in range(2))
+
+
+def test_an_article_in_a_div_keeps_its_short_parts():
+    prose = "".join(f"<p>Paragraph {k} goes on for a good number of words.</p>" for k in range(50))
+    parts = "<h1>Title</h1><h2>Part</h2>", "<ul><li>one<li>two</ul><blockquote>Quote</blockquote><pre>code</pre><table><tr><th>head<td>cell</table><div><p>Last</p></div>"
+    page = f"<body><div><ul><li><a href=x>Another story</a></ul></div><div><div>{parts[0]}{prose}{parts[1]}</div></div></body>"
+    lines = html.Page(page).main_text(set()).split("\n")
+    assert lines[:2] == ["Title", "Part"] and lines[52:] == ["one", "two", "Quote", "code", "head", "cell", "Last"] and len(lines) == 59
+    assert html.Page(f"<h1><a>Linked title</a></h1><div>{prose}</div>").main_text(set()).startswith("Linked title\nParagraph 0")
+    assert html.Page("<div><a>Only</a></div><p><a>links</a></p>").main_text(set()) == "Only\nlinks"
