@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions import labels, text
+from rivulet.functions import values as v
 from rivulet.functions.text import NameOptions
 from rivulet.operators import assign, match, rank
 
 from .settings import Settings
 
 
-def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None, stations: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """(channel_id, stream_id, kind, rank): all streams of each channel, best first.
 
     Channels: channel_id, name[, country]. Streams: stream_id, name, url, m3u_account, m3u_priority, width, height,
-    source_fps[, country]. A channel collects only if its gate finds a stream name, or aliases or titles give it one.
+    source_fps[, country, channel_group_name, video_bitrate, ffmpeg_output_bitrate, audio_channels, audio_codec, mbps, measured_at]. Stations: key,
+    network_affiliation, community_served_city. A channel collects only if its gate finds a stream name, or aliases or titles give it one.
+    Matching reads names after the user's rules; what is kept and deduplicated has its own name.
     """
     o = NameOptions(ignored_tags=s.ignored_tags)
+    raw = streams
+    if s.rules:
+        streams = streams.withColumn("name", text.apply_rules(F.col("name"), list(s.rules)))
+    if s.aliases:
+        own = [(k, x) for k, xs in s.aliases.items() for x in ([xs] if isinstance(xs, str) else xs)]
+        own = channels.sparkSession.createDataFrame(own, "canonical string, variant string")
+        aliases = own if aliases is None else aliases.select("canonical", "variant").union(own).distinct()
     open_ = match.gate(channels, streams, s.threshold, o).select("name")
     names = match.collect(channels.join(open_, "name", "left_semi"), streams, s.threshold, o)
     pairs = channels.select("channel_id", "name").join(names, "name").select("channel_id", F.col("match").alias("m"))
@@ -29,15 +39,24 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
     if titles is not None:
         parts["watch"] = match.watch_matches(channels, titles)
     calls = channels.withColumn("callsign", labels.paren_callsign(F.col("name")))
-    parts |= {"callsign": match.callsign_matches(calls, streams), "fuzzy": fuzzy}
-    found = assign.union_sources(parts).join(streams.where(rank.alive()), "stream_id")
+    parts |= {"callsign": corroborated_callsigns(calls, streams, stations), "fuzzy": fuzzy}
+    found = assign.union_sources(parts).join(raw.where(rank.alive()), "stream_id")
     if s.restrict_country:
         country = channels.select("channel_id", F.col("country").alias("channel_country")) if "country" in channels.columns else channels.select("channel_id", labels.country_of_name(F.col("name")).alias("channel_country"))
-        stream_country = F.col("country") if "country" in found.columns else labels.country_of_name(F.col("name"))
+        group = F.col("channel_group_name") if "channel_group_name" in found.columns else F.lit(None).cast("string")
+        stream_country = F.col("country") if "country" in found.columns else labels.stream_country(group, F.col("name"), s.overrides)
         found = found.join(country, "channel_id").withColumn("same", labels.same_country(F.col("channel_country"), stream_country)).where("same <> 'FOREIGN' or kind = 'callsign'")
     else:
         found = found.withColumn("same", F.lit("UNKNOWN"))
-    key = rank.quality_key(F.col("width"), F.col("height"), F.col("source_fps"), F.col("m3u_priority"), quality_first=s.quality_first)
+    has = lambda *names: [F.col(n) for n in names if n in found.columns]
+    bitrates = has("video_bitrate", "ffmpeg_output_bitrate")
+    audio = [rank.audio_rank(c, list(wanted)) for name, wanted in (("audio_channels", s.audio_channels), ("audio_codec", s.audio_codecs)) for c in has(name)]
+    starved = rank.starved(F.col("height"), bitrates, s.floor_kbps) if s.starved and bitrates else None
+    tier = mbps = None
+    if len(has("mbps", "measured_at")) == 2:
+        mbps = F.when(rank.fresh(F.col("measured_at"), F.col("mbps"), F.current_timestamp() if now is None else now, s.ttl_minutes), F.col("mbps"))
+        tier = rank.throughput_tier(mbps, rank.nominal_mbps(F.col("height"), F.col("source_fps")), s.margin)
+    key = rank.quality_key(F.col("width"), F.col("height"), F.col("source_fps"), F.col("m3u_priority"), starved, tier, mbps, audio, s.quality_first)
     order = [F.when(F.col("same") == "SAME", 0).otherwise(1), *key, F.col("stream_id")]
     ordered = rank.ranked(found.where("name is not null"), ["channel_id"], order)
     by = ["channel_id", "name", "m3u_account"] + ([F.nullif(F.col("url"), F.lit(""))] if s.dedup_url else [])
@@ -45,8 +64,19 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
     return rank.ranked(once, ["channel_id"], [F.col("rank")]).select("channel_id", "stream_id", "kind", "rank")
 
 
-def match_and_assign(channels: DataFrame, streams: DataFrame, current: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
-    found = matched(channels, streams, s, aliases, titles)
+def corroborated_callsigns(calls: DataFrame, streams: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """(channel_id, stream_id) by callsign; one that is also a word needs its own form, its station's network or city in the stream's name."""
+    found = match.callsign_matches(calls, streams).join(calls.select("channel_id", labels.base_callsign(F.col("callsign")).alias("base")), "channel_id").join(streams.select("stream_id", "name"), "stream_id")
+    network = city = F.lit(None).cast("string")
+    if stations is not None:
+        network, city = F.col("network_affiliation"), F.col("community_served_city")
+        found = found.join(stations.select(F.col("key").alias("base"), network, city), "base", "left")
+    backed = match.corroborated(F.col("name"), F.col("base"), network, city)
+    return found.where(~F.col("base").isin(v.CALLSIGN_WORDS) | backed).select("channel_id", "stream_id").distinct()
+
+
+def match_and_assign(channels: DataFrame, streams: DataFrame, current: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None, stations: DataFrame | None = None) -> DataFrame:
+    found = matched(channels, streams, s, aliases, titles, stations)
     return assign.overwritten(current, found) if s.overwrite else assign.appended(current, found)
 
 

@@ -129,3 +129,28 @@ def test_stream(spark):
 
     batch = {tuple(r) for r in catalogue.fuzzy_best_match(spark, "/root/testdata/sf0.001").collect()}
     assert {tuple(r) for r in catalogue.stream_rematch(spark, "/root/testdata/sf0.001").collect()} == batch
+
+
+def test_job_reads_its_settings(spark):
+    """Rules, custom aliases, starvation, throughput, audio, overrides, group countries and corroboration act in the job."""
+    now = F.lit("2025-08-05 12:00:00").cast("timestamp")
+    channels = spark.createDataFrame([(1, "CNN", "US"), (2, "NBC (WAVE)", "US"), (3, "Zeta", "US")], "channel_id long, name string, country string")
+    rows = [  # group, kbps, audio, mbps, age in minutes
+        (1, "CNN", None, 100.0, "stereo", None, 0), (2, "CNN", None, 5000.0, "stereo", None, 0), (3, "CNN", None, 5000.0, "5.1", None, 0),
+        (4, "CNN", None, 5000.0, "stereo", 0.01, 5), (5, "CNN", None, 5000.0, "stereo", 90.0, 5), (6, "CNN", None, 5000.0, "stereo", 90.0, 99),
+        (7, "junk-CNN", None, 5000.0, "stereo", None, 0), (8, "ZZQ: CNN", None, 5000.0, "stereo", None, 0), (9, "CNN", "UK| News", 5000.0, "stereo", None, 0),
+        (20, "New wave music", None, None, None, None, 0), (21, "Louisville (WAVE)", None, None, None, None, 0), (22, "NBC wave", None, None, None, None, 0), (30, "Other words", None, None, None, None, 0),
+    ]
+    streams = spark.createDataFrame(rows, "stream_id long, name string, channel_group_name string, video_bitrate double, audio_channels string, mbps double, age int")
+    streams = streams.withColumns({"url": F.lit("u"), "m3u_account": F.col("stream_id"), "m3u_priority": F.lit(0), "width": F.lit(1920), "height": F.lit(1080), "source_fps": F.lit(50.0), "measured_at": now - F.make_dt_interval(mins=F.col("age"))})
+    stations = spark.createDataFrame([("WAVE", "NBC", "Louisville")], "key string, network_affiliation string, community_served_city string")
+
+    s = settings.Settings.of({
+        "probe_cache_ttl_minutes": "60", "audio_channels": "5.1", "regex_rules": '[["junk-", ""]]', "prefix_country_overrides": "ZZQ=UK",
+        "restrict_matching_to_country": "yes", "custom_aliases": '{"Zeta": ["Other words"]}',
+    })
+    found = jobs.matched(channels, streams, s, stations=stations, now=now).collect()
+    one, two, three = ([r.stream_id for r in sorted(found, key=lambda r: r["rank"]) if r.channel_id == c] for c in (1, 2, 3))
+    assert one[0] == 5 and one[1] == 3 and one[-2:] == [4, 1] and 6 in one and 7 in one and not {8, 9} & {*one}
+    assert 20 not in two and {21, 22} <= {*two}
+    assert three == [30]
