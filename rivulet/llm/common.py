@@ -38,6 +38,29 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def returned(run):
+    """``run`` for ``mapInArrow``, after whose task the Python worker gives free memory back to the system: workers live on for
+    the next stages, and all of an executor's share its memory."""
+
+    def running(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return running
+
+
 def split_of(id_col: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts

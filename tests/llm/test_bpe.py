@@ -59,3 +59,23 @@ def test_forgetting_pieces_changes_nothing(spark):
 def test_null_ids_decode_to_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [64, 275]), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(df).collect()} == {1: "", 2: "a b", 3: ""}
+
+
+def test_one_pass_gives_what_two_give_in_groups_of_any_size(spark, library):
+    df = docs(spark, [*enumerate(texts()), (9999, None)]).coalesce(2)
+    two = {r.doc_id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(df)).collect()}
+    for group in (1, 4000, 1 << 24):
+        assert {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(df, group=group, remembered=50).collect()} == two
+
+
+def test_a_very_long_run_of_one_letter_and_of_spaces(spark, library):
+    rows = [(1, "a" * 300_001), (2, " " * 200_001 + "b"), (3, "=" * 77_777), (4, "abab" * 50_001)]
+    found = collected(bpe.encode(docs(spark, rows)))
+    for i, text in rows:
+        assert found[i].ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_invalid_bytes_decode_as_in_the_library(spark, library):
+    ids = [library.encode("日本", add_special_tokens=False).ids[:1], [447], [447, 64, 250]]
+    df = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(df).collect()} == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)}
