@@ -11,8 +11,9 @@ their places, and one more row per document carries the covered starts to the te
 
 Defined cases: a null text has no lines and stays null; a text of fewer than three lines has no
 window and stays as it is; lines are what lies between ``\\n``, empty ones included; rows with the
-same id and text are judged as one document, so repeated rows keep the same lines; extra columns
-pass through. Rows with a null id are judged as one document that comes before all others.
+same id and text are judged as one document, so repeated rows keep the same lines, while texts that share an id are
+documents of their own, in the order of their hashes; an empty table gives an empty one; extra columns
+pass through. Rows with a null id come before all others.
 """
 
 from __future__ import annotations
@@ -31,29 +32,29 @@ def _lines(text: str) -> Column:
 
 
 def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the 0-based starts of windows that are later occurrences."""
-    lines = df.where(F.col(text_col).contains("\n")).select(F.col(id_col).alias("id"), _lines(text_col).alias("lines"))
+    """(id, mark, starts): the 0-based starts of windows that are later occurrences; ``mark`` is a hash of the text."""
+    lines = df.where(F.col(text_col).contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _lines(text_col).alias("lines"))
     three = [F.col("lines")[F.col("at") + k] for k in range(WINDOW)]
     windows = (
         lines.where(F.size("lines") >= WINDOW)
-        .select("id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - WINDOW)).alias("at"))
-        .select("id", "at", F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *three).alias("h2"))
+        .select("id", "mark", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - WINDOW)).alias("at"))
+        .select("id", "mark", "at", F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *three).alias("h2"))
     )
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, ["h1", "h2"]).where("struct(id, at) <> first")
-    return later.groupBy("id").agg(F.collect_set("at").alias("starts"))
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(first, ["h1", "h2"]).where("struct(id, mark, at) <> first")
+    return later.groupBy("id", "mark").agg(F.collect_set("at").alias("starts"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later occurrences removed from ``text_col``, and ``n_lines`` and ``n_removed``."""
-    starts, key = unused(df, "starts"), unused(df, "key")
-    found = repeated_starts(df, id_col, text_col).select(F.col("id").alias(key), F.col("starts").alias(starts))
+    starts, key, mark = unused(df, "starts"), unused(df, "key"), unused(df, "mark")
+    found = repeated_starts(df, id_col, text_col).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("starts").alias(starts))
     lines = _lines(text_col)
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + WINDOW - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     kept = F.transform(left, lambda i: lines[i])
     gone = F.coalesce(F.size(covered), F.lit(0))
-    joined = df.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    joined = df.join(found, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left")
     return joined.select(
         *(c for c in df.columns if c not in (text_col, "n_lines", "n_removed")),
         F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col),

@@ -41,3 +41,9 @@ def test_many_documents_with_one_passage(spark):
     rows = [(i, f"own {i}\np\nq\nr\nend {i}") for i in range(300)]
     found = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows)).collect()}
     assert found == {i: f"own {i}\np\nq\nr\nend {i}" if i == 0 else f"own {i}\nend {i}" for i in range(300)}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    one, two = "x\ny\nz\nq", "a\nb\nc\nkeep"
+    rows = [(2, one), (2, two), (3, "a\nb\nc\nend")]
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs(spark, rows)).collect()) == [(2, two), (2, one), (3, "end")]
