@@ -10,8 +10,8 @@ all others cannot qualify. Only then are those few scores resolved exactly. The
 of all queries of a block are two matrix products a round, because an entry that a bound may not
 know is clipped to what the bound knows. The best k of each block are merged in a window per query.
 
-Defined cases: null vectors, empty ones, and those holding null or non-finite components take no
-part; vectors of different lengths never meet; rows with the query's id are not its candidates; equal
+Defined cases: null vectors, empty ones, and those holding null or non-finite components, or one of ``MOST`` or more, take no
+part, nor do rows without an id; a query row that is repeated counts once; candidates that are repeated count each; vectors of different lengths never meet; rows with the query's id are not its candidates; equal
 scores go to the smaller id; a query with fewer candidates than k returns all of them; other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ NAME = "op4_topk"
 BLOCK, QUERIES = 8192, 256
 #: Shares of the lists that are read by the end of each round.
 DEPTHS = (0.05, 0.15, 0.3, 0.5, 0.75, 1.0)
+#: Components from here on could make a score that 64 bits don't hold (for vectors of up to 2,048 of them).
+MOST = 2.0**18
 #: A query stops once at most this many items can still qualify.
 FEW = 128
 
@@ -40,7 +42,7 @@ def quantized(embedding: str) -> Column:
 
 
 def usable(embedding: str) -> Column:
-    bad = F.exists(F.col(embedding), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.exists(F.col(embedding), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= MOST))
     return F.col(embedding).isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
@@ -78,8 +80,8 @@ def best(items: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarra
 
 def search(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", k: int = 5, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query by ``quantized`` vectors."""
-    c = candidates.where(usable(embedding)).select(F.col(id_col).cast("long").alias("vec_id"), quantized(embedding).alias("v"))
-    q = queries.where(usable(embedding)).select(F.col(id_col).cast("long").alias("query_id"), quantized(embedding).alias("v"))
+    c = candidates.where(usable(embedding) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantized(embedding).alias("v"))
+    q = queries.where(usable(embedding) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), quantized(embedding).alias("v")).distinct()
     blocks = max(1, -(-c.count() // block))
     query_blocks = max(1, -(-q.count() // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

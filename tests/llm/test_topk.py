@@ -49,3 +49,10 @@ def test_defined_cases(spark):
     assert found == [(0, 1, 1, 256 * 256 + 128 * 128), (0, 2, 2, 256 * 256 + 128 * 128)]
     none = df.limit(0)
     assert topk.search(none, none).count() == 0 and topk.search(df, none).count() == 0
+
+
+def test_repeated_queries_null_ids_and_huge_components(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (None, [9.0, 9.0]), (3, [1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(df, df.where("vec_id = 1 or vec_id is null"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 2, 32768), (1, 2, 2, 32768)]
