@@ -6,8 +6,8 @@ passage. An item's BM25 weights are divided by their sum, so that a passage's sc
 (0 to 1) of the item's weight that it holds, and all items at or above ``THRESHOLD`` are retrieved. Postings are
 cut into blocks at every ``BLOCK`` items, and a passage's words' largest weights in a block bound what any
 item in it can reach. Blocks below the threshold are skipped unread, for most passages all of them; the others
-are walked with WAND pivots. Each retrieved item is then verified by its five-word shingles: the shares of the
-question's and of the answer's that the whole document holds. The answer is what follows the
+are walked with WAND pivots. Each retrieved item is then verified by its five-word shingles: the document must hold enough of the
+question's and enough of the answer's (``OVERLAP``). The answer is what follows the
 last question mark, or the last sentence where there is none; without a second part the item is all question.
 
 Documents are never shuffled. The index goes to the tasks only in shards of at most ``MOST_POSTINGS``
@@ -16,7 +16,8 @@ has shards, with word statistics of the whole benchmark.
 
 Defined cases: null or wordless items match nothing; null or empty texts have no leaks; an item part of fewer
 than five words counts as one shingle; equal items are all reported; rows with the same item_id are
-separate items with the same name; texts of any length are read whole; other columns pass through.
+separate items with the same name; texts of any length are read whole; ties of scores are no matter, as all items are returned; an empty table, of
+documents or of items, gives no leaks; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, returned
 
 NAME = "op6_decontaminate"
 ORACLE_SQL = None
@@ -89,8 +90,8 @@ class Index:
             q, a = parts_of(text)
             for w, x in weight.items():
                 postings.setdefault(w, []).append((len(self.items), x / total))
-            self.items.append((item_id, shingles(q), len(q), shingles(a), len(a), shingles(words), len(words)))
-        self.longest = max((x[6] for x in self.items), default=1)
+            self.items.append((item_id, shingles(q), len(q), shingles(a), len(a), len(words)))
+        self.longest = max((x[5] for x in self.items), default=1)
         self.number = {w: k for k, w in enumerate(postings)}
         self.lists = [([i for i, _ in p], [x for _, x in p]) for p in postings.values()]
         self.blocks = len(self.items) // BLOCK + 1
@@ -161,12 +162,12 @@ class Index:
                 found[item] = max(score, found.get(item, 0.0))
         if not found:
             return []
-        own = {n: shingles(words) if n >= SHINGLE else set(zip(*(words[k:] for k in range(n)))) for n in {min(SHINGLE, m) for i in found for m in self.items[i][2:7:2]} if n}
+        own = {n: shingles(words) if n >= SHINGLE else set(zip(*(words[k:] for k in range(n)))) for n in {min(SHINGLE, m) for i in found for m in self.items[i][2:5:2]} if n}
         share = lambda s, n: len(s & own[min(SHINGLE, n)]) / len(s) if s else 1.0
         out = []
         for i, score in sorted(found.items()):
-            item_id, q, nq, a, na, whole, n = self.items[i]
-            if share(whole, n) >= OVERLAP or share(q, nq) >= OVERLAP and share(a, na) >= OVERLAP:
+            item_id, q, nq, a, na, _ = self.items[i]
+            if share(q, nq) >= OVERLAP and share(a, na) >= OVERLAP:
                 out.append({"item_id": item_id, "score": min(1.0, score), "question_overlap": share(q, nq), "answer_overlap": share(a, na)})
         return out
 
@@ -208,7 +209,7 @@ def find_leaks(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col
                 own = [batch.column(batch.schema.get_field_index(f.name)) for f in passed]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found, kind)], names=[*(f.name for f in passed), "leaks"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(returned(run), schema)
     return out
 
 

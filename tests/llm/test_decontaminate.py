@@ -21,7 +21,7 @@ def brute(texts, items):
                 o = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
                 return len(s & o) / len(s) if s else 1.0
 
-            if whole and own and (share(whole) >= 0.75 or share(q) >= 0.75 and share(a) >= 0.75):
+            if whole and own and share(q) >= 0.75 and share(a) >= 0.75:
                 out.add((i, item))
     return out
 
