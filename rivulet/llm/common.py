@@ -19,14 +19,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as a table in the cluster's shared folder (``spark.checkpoint.dir``), read again: computed once,
-    independent of executors, and without its lineage. Only where the setting is unset (single-machine tests) a
-    temporary folder takes its place."""
+    independent of executors, and without its lineage. Only where the setting is unset on a single machine (in tests) a
+    temporary folder takes its place; a cluster has to name its folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
         folder = spark.sparkContext.getCheckpointDir()
     df.write.parquet(path := f"{folder}/rivulet-{uuid.uuid4().hex}")
+    # Shuffle files of finished steps go once the driver has collected the plans that made them, which may be long after the disk is full.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,18 +70,26 @@ def split_of(id_col: str, parts: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def smallest_by_class(df: DataFrame, by: str, id_col: str, rows: int, most_classes: int = 1000) -> DataFrame:
-    """Of each value of ``by`` the ``rows`` rows whose id has the smallest hash: a sample whose size
-    depends on the number of classes alone. Raises where ``by`` has more than ``most_classes`` values."""
-    counts = {r[by]: r["count"] for r in df.groupBy(by).count().limit(most_classes + 1).collect()}
-    if len(counts) > most_classes:
-        raise ValueError(f"{by} has more than {most_classes} values")
+def smallest_by_class(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """Of each value of ``by`` the ``rows`` rows with the smallest hash of all their columns: a sample whose size depends on the number of classes alone."""
+    counts = {r[by]: r["count"] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
     if not counts:
         return df.limit(0)
     order, last, k = unused(df, "order"), unused(df, "last"), unused(df, "k")
     # Hashes are even, so four times the wanted share of them leaves enough rows and bounds what the window sorts.
     near = [(c, -(2**63) + min(2**64 - 1, 4 * rows * 2**64 // n)) for c, n in counts.items()]
     near = df.sparkSession.createDataFrame(near, T.StructType([T.StructField(by, df.schema[by].dataType), T.StructField(last, T.LongType())]))
-    first = Window.partitionBy(by).orderBy(order, id_col)
-    kept = df.withColumn(order, F.xxhash64(F.col(id_col))).join(F.broadcast(near), by).where(F.col(order) <= F.col(last))
-    return kept.withColumn(k, F.row_number().over(first)).where(F.col(k) <= rows).select(*df.columns)
+    hashed = df.withColumn(order, F.xxhash64(*df.columns))
+
+    def smallest(some: DataFrame) -> DataFrame:
+        first = Window.partitionBy(by).orderBy(order, *df.columns)
+        return some.withColumn(k, F.row_number().over(first)).where(F.col(k) <= rows).select(*df.columns)
+
+    found = smallest(hashed.join(F.broadcast(near), by).where(F.col(order) <= F.col(last)))
+    # Repeated rows share a hash, so a class of few distinct rows can come back short: its rows are then all sorted.
+    got = {r[by]: r["count"] for r in found.groupBy(by).count().collect()}
+    short = [c for c, n in counts.items() if got.get(c, 0) < min(rows, n)]
+    if not short:
+        return found
+    is_short = F.col(by).isin(short)
+    return found.where(~is_short).unionByName(smallest(hashed.where(is_short)))

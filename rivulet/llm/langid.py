@@ -1,7 +1,7 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 ``fit`` takes a bounded, deterministic sample of labelled rows of each language (``ROWS`` rows, those
-with the smallest hash of their id, of which ``ROW_CHARS`` characters each) and joins it to one raw-content
+with the smallest hash, and of each ``ROW_CHARS`` characters in a row from a place that its hash chooses) and joins it to one raw-content
 dictionary per language. ``identify`` encodes every whole text, in blocks of ``BLOCK`` bytes that
 each start afresh from the dictionary, once per language; the language with the fewest bytes wins.
 The margin is the share of the runner-up's bytes that the winner saves. Where it is narrow the row is
@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, smallest_by_class, split_of
+from .common import read, returned, smallest_by_class, split_of
 
 NAME = "op2_langid"
 ORACLE_SQL = None
 
 #: Bounds of the fitted sample: rows of a language, and characters of a row.
 ROWS, ROW_CHARS = 240, 500
-#: More labels than this are taken for a mistake in the column.
-MOST_LANGUAGES = 1000
 #: Bytes encoded at once.
 BLOCK = 512
 #: zstandard's level: lower ones find too few matches in short blocks, higher ones gain nothing.
@@ -46,8 +44,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     sample = (
-        smallest_by_class(known, "lang", "id", rows, MOST_LANGUAGES)
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.substring("text", 1, ROW_CHARS))).alias("texts"))
+        smallest_by_class(known, "lang", rows)
+        .withColumn("start", F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1)
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.col("text").substr(F.col("start"), F.lit(ROW_CHARS)))).alias("texts"))
     )
     return {r.lang: _letters(" ".join(r.texts)) for r in sample.collect()}
 
@@ -102,7 +101,7 @@ def identify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
             cols = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*own, *cols], names=[*(f.name for f in passed), *(f.name for f in added)])
 
-    return df.mapInArrow(run, T.StructType([*passed, *added]))
+    return df.mapInArrow(returned(run), T.StructType([*passed, *added]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ neighbours count for less); they are also the evidence. A text without any word
 the share of label 1 among the examples that have none either. Texts are never shuffled, and the
 index's size is bounded by the parameters alone.
 
-Defined cases: null and empty texts have no word of the vocabulary; labels that are null teach nothing, and of a row with several labels
-the largest counts; without examples every score is 0.5; ties go to the smaller example id; repeated rows get the same
+Defined cases: null and empty texts have no word of the vocabulary; labels that are null teach nothing, and labels above 0 count as 1 and others as 0, of a row with several labels
+the largest counts; texts of any length are read whole; an empty table gives an empty one; without examples every score is 0.5; ties go to the smaller example id; repeated rows get the same
 score; other columns pass through.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, smallest_by_class, split_of
+from .common import read, returned, smallest_by_class, split_of
 
 NAME = "op5_toxicity"
 ORACLE_SQL = None
@@ -139,8 +139,8 @@ def _counted(df: DataFrame, text_col: str, label_col: str | None = None, only: d
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
     """The index of the examples that ``labels`` marks in ``df``; word statistics of all of ``df``."""
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    sample = smallest_by_class(marked, "label", id_col, examples, most_classes=2)
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    sample = smallest_by_class(marked, "label", examples)
     texts = df.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     rows = sorted(tuple(r) for r in texts.join(F.broadcast(sample), id_col).select(id_col, "label", "text").collect())
     if not rows:
@@ -173,7 +173,7 @@ def score(df: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in passed]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in judged], pa.float64()), pa.array(found, kind)], names=[*(f.name for f in passed), "score", "evidence"])
 
-    return df.mapInArrow(run, T.StructType([*passed, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
+    return df.mapInArrow(returned(run), T.StructType([*passed, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
