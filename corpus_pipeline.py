@@ -2,7 +2,8 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All stages but the last return the columns of ``documents``; ``n_chars`` follows the
-text. Documents with an id that occurs more than once, or with none, pass through as they are judged.
+text. Every row is judged by its own text, also where rows share an id; rows without an id pass all stages that keep their text. A null or blank
+text has no language and goes in the first stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives the text back."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    ids = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     back = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return bpe.decode(ids).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("round_trip"))
+    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("round_trip"))
 
 
 STAGES = [
