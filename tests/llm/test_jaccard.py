@@ -43,10 +43,9 @@ def near_copies(rng, n, base_words=60, edits=5, vocabulary=400):
 
 
 @pytest.mark.parametrize("rounds", [0, 2])
-def test_against_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(j, "ROUNDS", rounds)
+def test_against_brute_force(spark, rounds):
     rows = near_copies(random.Random(rounds), 260) + [(900, None), (901, ""), (902, " \n"), (903, "Two words"), (904, "two WORDS"), (905, "two other")]
-    found = {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows))).items()}
+    found = {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows), rounds=rounds)).items()}
     expected = brute(rows)
     assert found == expected
     assert len({c for _, c in expected.values()}) < 200
@@ -84,3 +83,24 @@ def test_components_of_long_chains(spark):
     random.Random(1).shuffle(links)
     found = {r.node: r.comp for r in j.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(40)}
+
+
+def test_rows_with_one_id_are_judged_by_their_own_text(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    df = docs(spark, [(4, one), (4, two), (9, two), (2, one), (8, "x y")])
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.join(df).collect()) == [(2, 26, 2), (4, 26, 2), (4, 26, 4), (8, 1, 8), (9, 26, 4)]
+    assert sorted((r.doc_id, r.text) for r in j.keep_one(df).collect()) == [(2, one), (4, two), (8, "x y")]
+
+
+def test_no_size_of_broadcast_changes_the_result(spark, monkeypatch):
+    rows = near_copies(random.Random(3), 150)
+    expected = brute(rows)
+    for most in (0, 10**6):
+        monkeypatch.setattr(j, "MOST_BROADCAST", most)
+        assert {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows), rounds=1)).items()} == expected
+
+
+def test_sets_of_like_size_just_at_the_threshold(spark):
+    words = [f"t{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k:] + [f"own{k}_{x}" for x in range(k)])) for k in range(0, 90, 3)] + [(1000 + n, " ".join(words[:n])) for n in range(1, 40)]
+    assert {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows))).items()} == brute(rows)
