@@ -37,9 +37,9 @@ NAME = "op8_bpe"
 ORACLE_SQL = None
 
 #: Bytes of text whose new pieces are indexed together, and bytes of distinct pieces in one index.
-GROUP, INDEXED = 32 << 20, 4 << 20
+GROUP, INDEXED = 8 << 20, 4 << 20
 #: Cuts that a task remembers from one group to the next; beyond it the memory is emptied, which changes the speed only.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Ranks whose positions are sorted together.
 RANKS = 512
 #: Bits of the table of pairs, and the odd multiplier of its hash.
