@@ -2,13 +2,13 @@
 
 Each rule's regex is read once on the driver and turned into a Boolean query over trigrams: an OR
 of ANDs of the trigrams that every match must contain (letters of either case are folded). The
-documents' postings for the trigrams that occur in any query are intersected by one aggregation,
-which leaves the candidates of each rule; only those are verified with the regex. A rule from
-which no mandatory trigram follows is run over every text.
+documents' postings for the trigrams that occur in any query are read off each text in one pass and
+intersected by one aggregation, which leaves the candidates of each rule; only those are verified
+with the regex. A rule from which no mandatory trigram follows is run over every text.
 
 Verification gives spans in code points, end exclusive. ``split`` returns what lies between the
 matches and ``regexp_extract_all`` the matches, so that running sums of their lengths are the
-positions.
+positions. Both run once a text, and the sums take time in proportion to the number of matches.
 
 Defined cases: a null text counts as empty and has no spans; rows with the same id share their
 candidate rules, which can only add work; a null id is a value like any other; extra columns pass
@@ -18,6 +18,7 @@ through. Kinds ``github`` and ``pem`` are added to the three base kinds and chan
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 from re import _parser as regex_parser
 
@@ -53,6 +54,9 @@ RULES = (
 #: A part of a regex that stands for more strings than this counts as "anything".
 MOST_STRINGS = 64
 
+#: Elements summed one by one within a running sum; it changes the time, never the result.
+CHUNK = 32
+
 
 def trigram_query(pattern: str) -> set[frozenset[str]] | None:
     """An OR of ANDs of lower-case trigrams that each match contains; None: no such query."""
@@ -115,34 +119,56 @@ def candidates(df: DataFrame, id_col: str, text_col: str, rules=RULES) -> DataFr
     """(id, kinds): the rules whose trigram query a document's postings satisfy."""
     clauses = [(r.kind, i, tuple(sorted(c))) for r in rules for i, c in enumerate(sorted(trigram_query(r.pattern) or (), key=sorted))]
     grams = sorted({t for _, _, c in clauses for t in c})
-    lower = F.lower(F.col(text_col))
+    # A lookahead takes no characters, so trigrams that overlap are all found.
+    tails = {h: "|".join(re.escape(t[1:]) for t in grams if t[0] == h) for h in sorted({t[0] for t in grams})}
+    any_gram = "(?=(" + "|".join(f"{re.escape(h)}(?:{rest})" for h, rest in tails.items()) + "))"
     postings = df.select(
         F.col(id_col).alias("id"),
-        F.explode(F.array_compact(F.array(*(F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in grams)))).alias("gram"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(any_gram), F.lit(1)))).alias("gram"),
     )
     wanted = df.sparkSession.createDataFrame([(k, i, t, len(c)) for k, i, c in clauses for t in c], "kind string, clause int, gram string, size int")
     met = postings.join(F.broadcast(wanted), "gram").groupBy("id", "kind", "clause", "size").agg(F.count_distinct("gram").alias("n"))
     return met.where("n = size").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, even where ``use`` reads it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(steps: Column, levels: int = 4) -> Column:
+    """The sums of the first 1, 2, ... elements, by chunks of chunks of ``CHUNK`` elements."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    first = lambda a, i: total(F.slice(a, 1, i + 1))
+    if levels == 0:
+        return F.transform(steps, lambda _, i: first(steps, i))
+    last = F.floor(F.greatest(F.size(steps) - 1, F.lit(0)) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def within(chunks: Column, totals: Column, sums: Column) -> Column:
+        before = lambda c: F.get(sums, c) - F.get(totals, c)
+        return F.flatten(F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda _, i: before(c) + first(chunk, i))))
+
+    return _let(chunks, lambda cs: _let(F.transform(cs, total), lambda ts: _let(_running(ts, levels - 1), lambda sums: within(cs, ts, sums))))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, ord, end, kind>> of one rule."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    """array<struct<start, ord, end, kind, size>> of one rule."""
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.length)
     between = F.transform(F.split(text, rule.pattern), F.length)
-    sizes = F.transform(whole, F.length)
-    own = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + y)
-    found = F.transform(
-        sizes,
-        lambda size, i: F.struct(
-            (total(between, i + 1) + total(sizes, i)).alias("start"),
+
+    def placed(sizes: Column, own: Column, gaps: Column) -> Column:
+        steps = F.transform(sizes, lambda _, i: F.get(gaps, i) + F.coalesce(F.get(sizes, i - 1), F.lit(0)))
+        span = lambda start, i: F.struct(
+            start.alias("start"),
             F.lit(order).alias("ord"),
-            (total(between, i + 1) + total(sizes, i) + size).alias("end"),
+            (start + F.get(sizes, i)).alias("end"),
             F.lit(rule.kind).alias("kind"),
             F.get(own, i).alias("size"),
-        ),
-    )
+        )
+        return F.transform(_let(steps, lambda s: _running(s)), span)
+
+    found = _let(lengths(0), lambda sizes: _let(between, lambda gaps: placed(sizes, sizes, gaps) if rule.group == 0 else _let(lengths(rule.group), lambda own: placed(sizes, own, gaps))))
     return F.filter(found, lambda s: s["size"] >= rule.least)
 
 
