@@ -14,7 +14,8 @@ path's row holds the hash of its anchor, the hash of its content, and its place.
    source coordinates must agree all along.
 
 A path is identified by 64 bits of its content within the 64 bits of its anchor. Counting and finding the first place have
-partial sums, so a passage that a third of all documents hold needs no more of a task than any other.
+partial sums. The joins by anchor and by path aren't salted: a passage that a third of all documents hold puts one row for each of its
+paths and copies in a task, which only adaptive execution splits.
 
 Defined cases: a null or empty text has no words; a text with fewer words than the window keeps all;
 rows with the same id count as one document and need the same text; a null id is a document before all others;
