@@ -40,13 +40,15 @@ def visibility(channels: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """An upsert's outcome: the newest row of each key."""
-    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
+    """An upsert's outcome: the newest row of each key; of those as new the one whose other columns come first."""
+    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), *(c for c in rows.columns if c not in (key, at)))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
-    """Matches of several kinds; each (channel, stream) once, with the first kind that found it."""
+    """Matches of several kinds, at least one; each (channel, stream) once, with the first kind that found it."""
+    if not parts:
+        raise ValueError("no matches to unite")
     out = None
     for place, (kind, df) in enumerate(parts.items()):
         rows = df.select("channel_id", "stream_id", F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind")).alias("s"))

@@ -156,11 +156,16 @@ def normalize_names(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.normalize(F.expr(_DIRTY), unicode=False).alias("clean"))
 
 
+def _lines(spark, d):
+    """(doc_id, line, t): every line of every document."""
+    split = F.posexplode(F.split("text", "\n")).alias("line", "t")
+    return _t(spark, d, "documents").select("doc_id", split).withColumn("line", F.col("line").cast("long"))
+
+
 @query()
 def normalize_full(spark, d):
-    """First lines of all documents in normal form, other scripts included."""
-    first = F.split("text", "\n")[0]
-    return _t(spark, d, "documents").select("doc_id", text.normalize(first).alias("clean"), text.token_sort(first).alias("sorted"))
+    """All lines of all documents in normal form, other scripts included."""
+    return _lines(spark, d).select("doc_id", "line", text.normalize(F.col("t")).alias("clean"), text.token_sort(F.col("t")).alias("sorted"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'K' || upper(substr(p_type, 1, 3)) END AS callsign, p_size % 2 = 0 AS sure FROM part""")
@@ -492,13 +497,14 @@ def tiered_lookup(spark, d):
 # Rules and reports ----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE WHEN length(t) > 500 OR length(b) > greatest(4 * length(t), 1000) THEN (CASE WHEN length(t) > 500 THEN t ELSE a END) ELSE b END AS match_name FROM (
-SELECT doc_id, t, a, replace(a, 'e', 'eeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeee') AS b FROM (SELECT doc_id, t, replace(t, 'the', 'a') AS a FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)))""")
+@query("""SELECT doc_id, line, CASE WHEN length(t) > 500 OR length(b) > greatest(4 * length(t), 1000) THEN (CASE WHEN length(t) > 500 THEN t ELSE a END) ELSE b END AS match_name FROM (
+SELECT doc_id, line, t, a, replace(a, 'e', 'eeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeee') AS b FROM (SELECT doc_id, line, t, replace(t, 'the', 'a') AS a FROM (
+SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))""")
 def regex_rules_caps(spark, d):
-    """User rules on first lines; a rule that grows a name too far is undone and ends the run."""
-    t = _t(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("t"))
+    """User rules on all lines; a rule that grows a name too far is undone and ends the run."""
+    t = _lines(spark, d)
     rules = text.checked_rules([["the", "a"], ["e", "e" * 44]])
-    return t.select("doc_id", text.apply_rules(F.col("t"), rules).alias("match_name"))
+    return t.select("doc_id", "line", text.apply_rules(F.col("t"), rules).alias("match_name"))
 
 
 @query("SELECT p_type, p_brand, string_agg(CASE WHEN n > 1 THEN p_name || ' (x' || n || ')' ELSE p_name END, '; ' ORDER BY first) AS names FROM (SELECT p_type, p_brand, p_name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2")

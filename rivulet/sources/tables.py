@@ -100,8 +100,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_assignments(df: DataFrame, path: str) -> None:
-    """Overwrites the assignment table; written beside it first, since ``df`` may be read from it."""
-    df.repartition("channel_id").sortWithinPartitions("channel_id", "ord").write.mode("overwrite").parquet(path)
+    """Overwrites the assignment table; written beside it first, since ``df`` may be read from it. The old table goes only when
+    the new one is whole; a run that ends in between leaves it as ``path`` or ``path.old``."""
+    spark = df.sparkSession
+    df.repartition("channel_id").sortWithinPartitions("channel_id", "ord").write.mode("overwrite").parquet(f"{path}.new")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    new, here, old = at(f"{path}.new"), at(path), at(f"{path}.old")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.delete(old, True)
+        if not fs.rename(here, old):
+            raise OSError(f"can't move {path}")
+    if not fs.rename(new, here):
+        raise OSError(f"can't move {path}.new")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def kept_reports(files: DataFrame, newest: int = 8, min_age_s: int = 2400):

@@ -154,3 +154,26 @@ def test_job_reads_its_settings(spark):
     assert one[0] == 5 and one[1] == 3 and one[-2:] == [4, 1] and 6 in one and 7 in one and not {8, 9} & {*one}
     assert 20 not in two and {21, 22} <= {*two}
     assert three == [30]
+
+
+def test_assignments_overwrite_the_table_they_come_from(spark, tmp_path):
+    from rivulet.sources import tables
+
+    path = str(tmp_path / "assignments")
+    tables.write_assignments(spark.createDataFrame([(1, 5, 0), (2, 6, 0)], "channel_id long, stream_id long, ord int"), path)
+    tables.write_assignments(spark.read.parquet(path).where("channel_id = 2"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(2, 6, 0)]
+    assert [p.name for p in tmp_path.iterdir() if "." in p.name and not p.name.startswith(".")] == []
+
+
+def test_every_line_takes_part(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "the tree\n" + "e" * 60), (2, "x" * 501 + "the"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(tuple(r) for r in entry.queries()["regex_rules_caps"](spark, str(tmp_path)).select("doc_id", "line", "match_name").collect())
+    sql = entry.oracle_sql()["regex_rules_caps"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == sorted(duckdb.sql(f"SELECT doc_id, line, match_name FROM ({sql})").fetchall())
+    assert [r[:2] for r in found] == [(1, 0), (1, 1), (2, 0), (4, 0)]
+    assert entry.queries()["normalize_full"](spark, str(tmp_path)).count() == 4
