@@ -2,14 +2,12 @@
 
 Channels have (channel_id, name), streams (stream_id, name). Names are normalised once per distinct name; a name's
 ``ord`` is its smallest id, which breaks all ties, so results don't depend on the order of rows. Candidate pairs come
-from equal names without spaces, from aliases, and from names of similar length, which are joined by length buckets:
-an equi-join that shuffles instead of broadcasting a side, and in which any pair within the length bound shares a bucket.
+from equal names without spaces, from aliases, and from names that share one of their rarest grams: an equi-join that
+shuffles instead of broadcasting a side, and in which every pair within the threshold's distance meets.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +24,40 @@ def distinct_names(df: DataFrame, id_col: str, name_col: str = "name", options:
     )
 
 
-def length_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str, ...] = ("folded", "sorted")) -> DataFrame:
-    """(l, r) structs of all pairs whose lengths are close enough in one of the forms to reach the threshold.
+def _grams(form: Column, size: int) -> Column:
+    """All grams of that size of a name and the edges around it; those that stand in it several times are numbered."""
+    edge = "\x01" * (size - 1)
+    padded = F.concat(F.lit(edge), form, F.lit(edge))
+    found = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(form) + (size - 1)), lambda i: F.substring(padded, i, F.lit(size))))
+    return F.transform(found, lambda g, i: F.concat(g, (i - F.array_position(found, g)).cast("string")))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str, ...] = ("folded", "sorted")) -> DataFrame:
+    """(l, r) structs of all pairs that are at least ``threshold`` percent alike in one of the forms.
 
-    Lengths within the bound differ by at most one bucket of their logarithm, so three buckets of one side
-    meet one of the other.
+    A difference of one letter changes at most q grams of q letters. So names that differ in at most d letters share one of the
+    q * d + 1 grams of each that come first in any order common to all names; here the rarest come first, so that frequent
+    grams, which many names share, are hardly ever met. A name's d is that of the longest partner it can have.
     """
-    off = max(100 - threshold, 25)
-    base = math.log(100 / (100 - off)) + 1e-9
-    bucket = lambda c: F.floor(F.log(F.length(c).cast("double")) / base).cast("int")
-    out = None
-    for k, form in enumerate(on):
-        a = left.select(F.struct(*left.columns).alias("l"), F.explode(F.array(*(bucket(form) + d for d in (-1, 0, 1)))).alias("b"))
-        b = right.select(F.struct(*right.columns).alias("r"), bucket(form).alias("b"))
-        near = lambda f: text.length_close(F.col(f"l.{f}"), F.col(f"r.{f}"), off)
-        cond = near(form)
-        for earlier in on[:k]:
-            cond = cond & ~near(earlier)  # the earlier form has it
-        met = a.join(b, "b").where(cond).select("l", "r")
-        out = met if out is None else out.unionByName(met)
-    return out
+    if not 1 <= threshold <= 100:
+        raise ValueError(f"threshold must be 1 to 100, not {threshold}")
+    size = max(q for q in (1, 2, 3) if q == 1 or q * (100 - threshold) < 100)
+    each_form = F.posexplode(F.array(*on)).alias("k", "form")
+    sides = left.select(each_form, F.lit(0).alias("side")).unionByName(right.select(each_form, F.lit(1).alias("side")))
+    forms = sides.where("form <> ''").groupBy("k", "form").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    grams = forms.withColumn("gram", F.explode(_grams(F.col("form"), size)))
+    counts = grams.groupBy("k", "gram").agg(F.count("*").alias("n"))
+    most = F.expr(f"cast({size} * ((length(form) * 100 div {threshold}) * {100 - threshold} div 100) + 1 as int)")
+    rarest = grams.join(counts, ["k", "gram"]).groupBy("k", "form", "low", "high").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("all"))
+    posts = rarest.select("k", "form", "low", "high", F.explode(F.slice("all", F.lit(1), most)).alias("g")).withColumn("gram", F.col("g.gram"))
+    x = posts.where("low = 0").select("k", "gram", F.col("form").alias("x"))
+    y = posts.where("high = 1").select("k", "gram", F.col("form").alias("y"))
+    bound = f"cast(greatest(length(x), length(y)) * {100 - threshold} div 100 as int)"
+    met = x.join(y, ["k", "gram"]).where(f"abs(length(x) - length(y)) <= {bound} and levenshtein(x, y, {bound}) >= 0").select("k", "x", "y").distinct()
+    l = left.select(F.struct(*left.columns).alias("l"), F.posexplode(F.array(*on)).alias("k", "x"))
+    r = right.select(F.struct(*right.columns).alias("r"), F.posexplode(F.array(*on)).alias("k", "y"))
+    found = met.join(l, ["k", "x"]).join(r, ["k", "y"]).select("l", "r")
+    return found.distinct() if len(on) > 1 else found
 
 
 def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
@@ -59,7 +71,7 @@ def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options:
     equal = with_key(c).select("key", F.struct("name", "clean", "folded", "sorted").alias("l")).join(with_key(s).select("key", F.struct("name", "ord", "clean", "folded", "sorted").alias("r")), "key")
     guard = text.shares_number(F.col("l.clean"), F.col("r.clean"))
     first = equal.where(guard).select("l.name", F.struct(F.lit(0).alias("stage"), F.lit(-1.0).alias("ratio"), F.col("r.ord").alias("ord"), F.col("r.name").alias("match")).alias("m"))
-    pairs = length_pairs(c.drop("ord"), s, threshold).where(guard)
+    pairs = close_pairs(c.drop("ord"), s, min(threshold, 97)).where(guard)
     ratio, sorted_ratio = text.similarity(F.col("l.folded"), F.col("r.folded")), text.similarity(F.col("l.sorted"), F.col("r.sorted"))
     part = F.contains(F.col("l.folded"), F.col("r.folded")) | F.contains(F.col("r.folded"), F.col("l.folded"))
     close = text.length_close(F.col("l.folded"), F.col("r.folded"))
@@ -91,7 +103,7 @@ def collect(channels: DataFrame, streams: DataFrame, threshold: int = 80, option
     """(name, match): every stream name that each channel name accepts."""
     c, s = distinct_names(channels, "channel_id", options=options, unicode=unicode), distinct_names(streams, "stream_id", options=options, unicode=unicode)
     equal = c.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("l").join(s.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("r"), "key")
-    near = length_pairs(c, s, threshold, on=("folded",)).where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
+    near = close_pairs(c, s, threshold, on=("folded",)).where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
     same = equal.where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
     return near.select("l.name", F.col("r.name").alias("match")).unionByName(same.select("l.name", F.col("r.name").alias("match"))).distinct()
 
@@ -130,8 +142,11 @@ def watch_matches(channels: DataFrame, titles: DataFrame) -> DataFrame:
     """(channel_id, stream_id): streams whose programme title holds all of a channel's two or more words."""
     words = lambda c: text.tokens(F.lower(c))
     c = channels.select("channel_id", words(F.col("name")).alias("cw")).where(F.size("cw") >= 2)
-    c = c.withColumn("word", F.array_max("cw"))  # one of the words that must be there anyway
     t = titles.select("stream_id", words(F.col("title")).alias("tw")).withColumn("word", F.explode("tw"))
+    # All words must be there: the rarest of them meets the fewest titles.
+    counts = t.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = c.select("cw", F.explode("cw").alias("word")).distinct().join(counts, "word").groupBy("cw").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    c = c.join(rarest, "cw")
     return c.join(t, "word").where(F.size(F.array_except("cw", "tw")) == 0).select("channel_id", "stream_id").distinct()
 
 

@@ -64,7 +64,7 @@ FROM names a JOIN names b ON a.name < b.name WHERE floor({_r('a.name', 'b.name')
 def fuzzy_self_match(spark, d):
     """Pairs of names at least 80 % alike."""
     n = match.distinct_names(_streams(spark, d), "stream_id", unicode=False)
-    met = match.length_pairs(n, n, 80, on=("folded",)).where("l.name < r.name")
+    met = match.close_pairs(n, n, 80, on=("folded",)).where("l.name < r.name")
     score = text.percent(text.similarity(F.col("l.folded"), F.col("r.folded")))
     return met.select(F.col("l.name").alias("a"), F.col("r.name").alias("b"), score.alias("score")).where("score >= 80")
 
@@ -98,7 +98,7 @@ SELECT c.name, s.name AS match FROM c, s WHERE (contains(s.name, c.name) OR cont
 def substring_match(spark, d):
     """Contained names of similar length."""
     short = _streams(spark, d).select("stream_id", F.expr("substr(name, 1, length(name) - 2)").alias("name"))
-    met = match.length_pairs(match.distinct_names(short, "stream_id", unicode=False), match.distinct_names(_streams(spark, d), "stream_id", unicode=False), 80, on=("folded",))
+    met = match.close_pairs(match.distinct_names(short, "stream_id", unicode=False), match.distinct_names(_streams(spark, d), "stream_id", unicode=False), 80, on=("folded",))
     part = F.contains(F.col("l.folded"), F.col("r.folded")) | F.contains(F.col("r.folded"), F.col("l.folded"))
     ratio = text.similarity(F.col("l.folded"), F.col("r.folded"))
     return met.where(part & text.length_close(F.col("l.folded"), F.col("r.folded")) & (ratio * 100 >= 80)).select("l.name", F.col("r.name").alias("match"))
@@ -420,7 +420,7 @@ SELECT CAST(threshold AS INTEGER) AS threshold, count(DISTINCT name) AS n_channe
 def threshold_sweep(spark, d):
     """How many names and pairs each threshold of the sweep gives."""
     n = match.distinct_names(_streams(spark, d), "stream_id", unicode=False)
-    rated = match.length_pairs(n, n, 65, on=("folded",)).where("l.name <> r.name").select(F.col("l.name").alias("name"), text.percent(text.similarity(F.col("l.folded"), F.col("r.folded"))).alias("score"))
+    rated = match.close_pairs(n, n, 65, on=("folded",)).where("l.name <> r.name").select(F.col("l.name").alias("name"), text.percent(text.similarity(F.col("l.folded"), F.col("r.folded"))).alias("score"))
     steps = F.explode(F.filter(F.array(*map(F.lit, rank.sweep(80))), lambda t: t <= F.col("score"))).alias("threshold")
     return rated.where("score >= 65").select("name", steps).groupBy("threshold").agg(F.count_distinct("name").alias("n_channels"), F.count("*").alias("n_matches"))
 

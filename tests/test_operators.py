@@ -44,6 +44,25 @@ def test_collect_against_brute_force(spark):
     assert found == expected and len(found) > 5
 
 
+def test_close_pairs_against_brute_force(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abc ", k=rng.randint(1, 14))) for _ in range(50)] + ["aaaaaaaaaa", "aaaaaaaab", "\U0001f600bc\u00e9", "\U0001f600bce"]
+    names = sorted({"".join(c for c in n if rng.random() > 0.08) or "x" for n in base * 3} | set(base))
+    df = spark.createDataFrame([(n, " ".join(sorted(n.split()))) for n in names], "folded string, sorted string")
+    for threshold in (40, 65, 80, 95, 100):
+        found = [(r.l.folded, r.r.folded) for r in match.close_pairs(df, df, threshold).collect()]
+        alike = lambda a, b: ratio(a, b) * 100 >= threshold - 1e-9
+        words = {n: " ".join(sorted(n.split())) for n in names}
+        assert len(found) == len(set(found))
+        assert set(found) == {(a, b) for a in names for b in names if alike(a, b) or alike(words[a], words[b])}
+
+
+def test_close_pairs_of_one_length_are_few(spark):
+    df = spark.range(20_000).select(F.translate(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24), "0123456789", "ghijklmnop").alias("folded"))
+    pairs = match.close_pairs(df, df, 80, on=("folded",))
+    assert pairs.where("l.folded = r.folded").count() == pairs.count() == 20_000
+
+
 def test_quality_order(spark):
     df = spark.createDataFrame([(1, "SD", 720, 576, 25.0, 0), (2, "4K", 3840, 2160, 50.0, 2), (3, "HD", 1920, 1080, 50.0, 2)], "id int, n string, w int, h int, fps double, p int").withColumn("c", F.lit(1))
     for first, expected in ((True, ["4K", "HD", "SD"]), (False, ["SD", "4K", "HD"])):
