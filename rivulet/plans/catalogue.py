@@ -18,6 +18,7 @@ from rivulet.functions import values as v
 from rivulet.functions.text import NameOptions
 from rivulet.operators import assign, guide, match, rank
 from rivulet.plans import jobs
+from rivulet.plans.settings import Settings
 from rivulet.streaming import rematch
 
 QUERIES: dict = {}
@@ -395,6 +396,20 @@ def sort_diff(spark, d):
     return assign.changed(r.select("channel_id", "stream_id", "ord"), r.select("channel_id", "stream_id", "rank"))
 
 
+@query("""WITH li AS (SELECT l_suppkey AS channel_id, l_partkey AS stream_id, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2),
+q AS (SELECT p_partkey, p_size * 60 AS width, p_size * 34 AS height, p_size % 61 AS fps, p_size % 4 AS prio, p_size * 34 >= 720 AND p_partkey % 1000 BETWEEN 1 AND 299 AS starved FROM part),
+t AS (SELECT *, CASE WHEN width = 0 OR height = 0 THEN 3 WHEN width >= 1280 AND height >= 720 AND fps >= 30 THEN 0 WHEN (width >= 1280 AND height >= 720) OR fps >= 30 THEN 1 ELSE 2 END AS tier FROM q),
+r AS (SELECT channel_id, stream_id, row_number() OVER (PARTITION BY channel_id ORDER BY o, stream_id) AS old,
+  row_number() OVER (PARTITION BY channel_id ORDER BY starved, tier, prio, -width * height, -fps, o, stream_id) AS new FROM li JOIN t ON stream_id = p_partkey),
+x AS (SELECT channel_id FROM r GROUP BY 1 HAVING count(*) > 1 AND max(CASE WHEN old <> new THEN 1 ELSE 0 END) = 1)
+SELECT channel_id, stream_id, CAST(new - 1 AS INTEGER) AS ord FROM r WHERE channel_id IN (SELECT channel_id FROM x)""")
+def sort_streams(spark, d):
+    """The job: assigned streams by starvation, quality, priority and their present order, of the channels where that differs."""
+    li = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("channel_id"), F.col("l_partkey").alias("stream_id")).agg(F.min("l_orderkey").alias("ord"))
+    streams = _t(spark, d, "part").selectExpr("p_partkey as stream_id", "p_size * 60 as width", "p_size * 34 as height", "p_size % 61 as source_fps", "p_size % 4 as m3u_priority", "p_partkey % 1000 as video_bitrate")
+    return jobs.sort_streams(li, streams, Settings())
+
+
 @query("""WITH n AS (SELECT p.*, coalesce(c, 0) AS n_streams FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS place FROM n),
 f AS (SELECT *, min(CASE WHEN n_streams > 0 AND p_size % 9 <> 0 THEN place END) OVER (PARTITION BY p_name) AS first FROM r)

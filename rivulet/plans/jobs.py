@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import labels, text
@@ -48,6 +48,16 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
         found = found.join(country, "channel_id").withColumn("same", labels.same_country(F.col("channel_country"), stream_country)).where("same <> 'FOREIGN' or kind = 'callsign'")
     else:
         found = found.withColumn("same", F.lit("UNKNOWN"))
+    key = quality_order(found, s, now)
+    order = [F.when(F.col("same") == "SAME", 0).otherwise(1), *key, F.col("stream_id")]
+    ordered = rank.ranked(found.where("name is not null"), ["channel_id"], order)
+    by = ["channel_id", "name", "m3u_account"] + ([F.nullif(F.col("url"), F.lit(""))] if s.dedup_url else [])
+    once = rank.keep_first(ordered, by, [F.col("rank")])
+    return rank.ranked(once, ["channel_id"], [F.col("rank")]).select("channel_id", "stream_id", "kind", "rank")
+
+
+def quality_order(found: DataFrame, s: Settings, now: Column | None = None) -> list[Column]:
+    """Ascending sort key of the streams of a channel, of what the settings ask for and the columns of ``found`` allow."""
     has = lambda *names: [F.col(n) for n in names if n in found.columns]
     bitrates = has("video_bitrate", "ffmpeg_output_bitrate")
     audio = [rank.audio_rank(c, list(wanted)) for name, wanted in (("audio_channels", s.audio_channels), ("audio_codec", s.audio_codecs)) for c in has(name)]
@@ -56,12 +66,32 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
     if len(has("mbps", "measured_at")) == 2:
         mbps = F.when(rank.fresh(F.col("measured_at"), F.col("mbps"), F.current_timestamp() if now is None else now, s.ttl_minutes), F.col("mbps"))
         tier = rank.throughput_tier(mbps, rank.nominal_mbps(F.col("height"), F.col("source_fps")), s.margin)
-    key = rank.quality_key(F.col("width"), F.col("height"), F.col("source_fps"), F.col("m3u_priority"), starved, tier, mbps, audio, s.quality_first)
-    order = [F.when(F.col("same") == "SAME", 0).otherwise(1), *key, F.col("stream_id")]
-    ordered = rank.ranked(found.where("name is not null"), ["channel_id"], order)
-    by = ["channel_id", "name", "m3u_account"] + ([F.nullif(F.col("url"), F.lit(""))] if s.dedup_url else [])
-    once = rank.keep_first(ordered, by, [F.col("rank")])
-    return rank.ranked(once, ["channel_id"], [F.col("rank")]).select("channel_id", "stream_id", "kind", "rank")
+    return rank.quality_key(F.col("width"), F.col("height"), F.col("source_fps"), F.col("m3u_priority"), starved, tier, mbps, audio, s.quality_first)
+
+
+def sort_streams(current: DataFrame, streams: DataFrame, s: Settings, now: Column | None = None) -> DataFrame:
+    """(channel_id, stream_id, ord): the new order of those channels whose assigned streams aren't in order of quality.
+
+    Streams have the columns that ``matched`` asks for. Equal qualities keep their order; streams that ``streams`` lacks come last.
+    """
+    known = streams.drop("channel_id", "ord").withColumn("known", F.lit(True))
+    found = current.select("channel_id", "stream_id", "ord").join(known, "stream_id", "left")
+    key = [F.when(F.col("known"), 0).otherwise(1), *quality_order(found, s, now), F.col("ord"), F.col("stream_id")]
+    return assign.changed(current, rank.ranked(found, ["channel_id"], key).select("channel_id", "stream_id", "rank"))
+
+
+def manage_visibility(channels: DataFrame, current: DataFrame, ignored_tags: tuple[str, ...] = ()) -> DataFrame:
+    """(channel_id, group_key, place, n_streams, enabled): of each group of channels only the first one with streams is enabled.
+
+    Channels have channel_id, name[, channel_number, attached_channel_id]; a group is a callsign or a clean name, its order that of
+    quality tags, numbers and ids.
+    """
+    absent = lambda name, kind: F.col(name).cast(kind) if name in channels.columns else F.lit(None).cast(kind)
+    own = channels.select("channel_id", "name", absent("channel_number", "double").alias("channel_number"), absent("attached_channel_id", "long").alias("attached_channel_id"))
+    groups = rank.grouped(own, text.normalize(F.col("name"), NameOptions(ignored_tags=ignored_tags)), labels.paren_callsign(F.col("name")))
+    order = [rank.tag_index(F.col("name")), F.coalesce("channel_number", F.lit(999999.0)), F.col("channel_id")]
+    placed = rank.ranked(groups, ["group_key"], order, "place")
+    return assign.visibility(placed, current).select("channel_id", "group_key", "place", "n_streams", "enabled")
 
 
 def corroborated_callsigns(calls: DataFrame, streams: DataFrame, stations: DataFrame | None = None) -> DataFrame:
@@ -96,7 +126,8 @@ def preview(channels: DataFrame, streams: DataFrame, s: Settings) -> DataFrame:
 def recommendations(previewed: DataFrame) -> DataFrame:
     """(threshold, n_channels, n_matches, least): counts by threshold, and the lowest threshold with matches."""
     counts = previewed.groupBy("threshold").agg(F.count_distinct("name").alias("n_channels"), F.count("*").alias("n_matches"))
-    return counts.join(counts.agg(F.min("threshold").alias("least")), F.lit(True))
+    # One row for each threshold of the sweep, so one task orders them all.
+    return counts.withColumn("least", F.min("threshold").over(Window.partitionBy(F.lit(0))))
 
 
 def country_agreement(streams: DataFrame) -> DataFrame:

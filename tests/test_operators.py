@@ -120,6 +120,17 @@ def test_assignments(spark):
     assert {tuple(r) for r in assign.appended(current, new).collect()} == {(1, 5, 0), (1, 6, 1), (2, 7, 0), (1, 8, 1)}
 
 
+def test_sort_and_visibility_jobs(spark):
+    streams = spark.createDataFrame([(5, 720, 576, 25.0, 0), (6, 1920, 1080, 50.0, 1), (7, 1920, 1080, 50.0, 1)], "stream_id long, width int, height int, source_fps double, m3u_priority int")
+    current = spark.createDataFrame([(1, 5, 0), (1, 9, 1), (1, 7, 2), (1, 6, 3), (2, 6, 0), (2, 5, 1), (3, 5, 0)], "channel_id long, stream_id long, ord int")
+    assert {tuple(r) for r in jobs.sort_streams(current, streams, settings.Settings()).collect()} == {(1, 7, 0), (1, 6, 1), (1, 5, 2), (1, 9, 3)}
+    channels = spark.createDataFrame([(1, "Fox Sports"), (2, "Fox Sports [HD]"), (3, "Fox Sports [4K]"), (4, "News"), (5, None)], "channel_id long, name string")
+    found = {r.channel_id: r.enabled for r in jobs.manage_visibility(channels, current).collect()}
+    assert [c for c, on in found.items() if on] == [3] and len(found) == 5
+    counts = spark.createDataFrame([("a", 80, "x"), ("a", 65, "y"), ("b", 65, "y")], "name string, threshold int, match string")
+    assert {tuple(r) for r in jobs.recommendations(counts).collect()} == {(80, 1, 1, 65), (65, 2, 2, 65)}
+
+
 def test_settings():
     s = settings.Settings.of({"match_sensitivity": "strict", "ignore_tags": 'a, "b, c"', "prioritize_quality": "no", "prefix_country_overrides": "NOW=UK", "regex_rules": '[["a", "b"]]'})
     assert (s.threshold, s.ignored_tags, s.quality_first, s.overrides) == (90, ("a", "b, c"), False, {"NOW": "UK"})
