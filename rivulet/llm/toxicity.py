@@ -2,14 +2,15 @@
 
 ``fit`` takes a bounded, deterministic sample of labelled rows (``EXAMPLES`` of each label, those with the
 smallest hash of their id). The sample decides the vocabulary: words that at least ``LEAST_ROWS`` of its rows
-hold and whose chi-squared statistic with the label is at least ``LEAST_CHI2``, the ``MOST_WORDS`` strongest.
+hold and whose chi-squared statistic with the label is at least ``LEAST_CHI2``; the sample's size bounds their number.
 How rare these words are is counted over all documents. The examples become an inverted index in blocks: of each word the
 postings in a block of ``BLOCK`` examples, and the largest weight among them. Examples are sorted by their
 strongest word, so that most blocks hold little for most queries.
 
 ``score`` gives each whole text its ``NEAREST`` examples exactly: the ``FIRST`` blocks with the largest bounds
 (largest weights times the query's) are read, and then only blocks whose bound reaches the worst example kept. The examples
-vote with their squared cosine as weight, against a prior of ``PRIOR`` votes at the sample's share of label 1 (so that few or distant
+vote with their squared cosine as weight, times how many labelled rows of their label stand behind an example (so that a label that the sample
+holds in full doesn't outweigh one of which it holds a part), against a prior of ``PRIOR`` votes at the share of label 1 among all labelled rows (so that few or distant
 neighbours count for less); they are also the evidence. A text without any word of the vocabulary gets
 the share of label 1 among the examples that have none either. Texts are never shuffled, and the
 index's size is bounded by the parameters alone.
@@ -37,8 +38,8 @@ from .common import read, returned, smallest_by_class, split_of
 NAME = "op5_toxicity"
 ORACLE_SQL = None
 
-#: Bounds of the fitted sample and vocabulary.
-EXAMPLES, MOST_WORDS = 4000, 4096
+#: Bound of the fitted sample: examples of a label.
+EXAMPLES = 4000
 LEAST_ROWS, LEAST_CHI2 = 4, 30.0
 BLOCK, FIRST, NEAREST, PRIOR = 64, 4, 15, 0.25
 
@@ -56,6 +57,8 @@ class Index:
     rows: list[tuple[np.ndarray, np.ndarray]]
     blank: float
     base: float
+    #: weight of a vote for label 0 and for label 1
+    weights: tuple[float, float] = (1.0, 1.0)
 
     def vector(self, text: str | None) -> dict[int, float]:
         known = self.words
@@ -93,19 +96,26 @@ class Index:
         if not query:
             return self.blank, []
         found = self.nearest(query, NEAREST)
-        votes = sum(s * s for s, _ in found)
-        return float((sum(s * s * self.labels[e] for s, e in found) + PRIOR * self.base) / (votes + PRIOR)), found
+        votes = [0.0, 0.0]
+        for s, e in found:
+            votes[int(self.labels[e])] += s * s * self.weights[int(self.labels[e])]
+        return float((votes[1] + PRIOR * self.base) / (sum(votes) + PRIOR)), found
 
 
-def build(words: list[str], idf: list[float], examples: list[tuple[int, int, str]]) -> Index:
-    """The index of (id, label, text) examples."""
+def build(words: list[str], idf: list[float], examples: list[tuple[int, int, str]], labelled: dict[int, int] | None = None) -> Index:
+    """The index of (id, label, text) examples, which stand for ``labelled`` rows of each label (None: for themselves)."""
     index = Index({w: k for k, w in enumerate(words)}, np.array(idf), np.array([]), np.array([]), np.zeros((0, 0)), [], 0.5, 0.5)
     vectors = [(index.vector(text), i, label) for i, label, text in examples]
     empty = [label for v, _, label in vectors if not v]
     full = sorted((x for x in vectors if x[0]), key=lambda x: (max(x[0], key=lambda w: (x[0][w], w)), x[1]))
     if examples:
-        index.base = sum(label for _, label, _ in examples) / len(examples)
-        index.blank = (sum(empty) + PRIOR * index.base) / (len(empty) + PRIOR)
+        sampled = Counter(label for _, label, _ in examples)
+        behind = labelled or sampled
+        index.base = behind.get(1, 0) / sum(behind.values())
+        rows = [max(1.0, behind.get(y, 0) / max(1, sampled[y])) for y in (0, 1)]
+        index.weights = (rows[0] / min(rows), rows[1] / min(rows))  # an example of the label sampled in full has one vote
+        weighted = [index.weights[y] for y in empty]
+        index.blank = (sum(w * y for w, y in zip(weighted, empty)) + PRIOR * index.base) / (sum(weighted) + PRIOR)
     index.ids, index.labels = np.array([i for _, i, _ in full], np.int64), np.array([label for _, _, label in full], np.float64)
     blocks = -(-len(full) // BLOCK)
     index.largest = np.zeros((len(words), blocks))
@@ -142,6 +152,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     sample = smallest_by_class(marked, "label", examples)
     texts = df.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    labelled = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
     rows = sorted(tuple(r) for r in texts.join(F.broadcast(sample), id_col).select(id_col, "label", "text").collect())
     if not rows:
         return build([], [], [])
@@ -151,11 +162,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     n = one + zero
     held = counted.where("word <> ''").groupBy("word").agg(a.alias("a"), b.alias("b")).where(F.col("a") + F.col("b") >= LEAST_ROWS)
     chi2 = n * F.pow(F.col("a") * (zero - F.col("b")) - F.col("b") * (one - F.col("a")), 2) / ((F.col("a") + F.col("b")) * F.greatest(n - F.col("a") - F.col("b"), F.lit(1)) * float(max(1, one * zero)))
-    strong = held.withColumn("chi2", chi2.cast("double")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(MOST_WORDS)
-    words = [r.word for r in strong.collect()]
+    strong = held.withColumn("chi2", chi2.cast("double")).where(F.col("chi2") >= LEAST_CHI2)
+    words = sorted(r.word for r in strong.collect())
     everywhere = {r.word: r.n for r in _counted(texts, "text", only=dict.fromkeys(words, 0)).collect()}
     total = everywhere.get("", 1)
-    return build(words, [math.log((1 + total) / (1 + everywhere.get(w, 0))) + 1 for w in words], rows)
+    return build(words, [math.log((1 + total) / (1 + everywhere.get(w, 0))) + 1 for w in words], rows, labelled)
 
 
 def score(df: DataFrame, index: Index, text_col: str = "text") -> DataFrame:

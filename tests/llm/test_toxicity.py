@@ -50,3 +50,12 @@ def test_defined_cases(spark):
     none = toxicity.fit(df, labels.limit(0))
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.5}
     assert toxicity.score(docs(spark, []), index).count() == 0
+
+
+def test_votes_count_for_the_rows_behind_the_sample():
+    index = toxicity.build(["a"], [1.0], [(1, 1, "a"), (2, 0, "a"), (3, 0, "b")], {1: 10, 0: 180})
+    assert index.weights == (9.0, 1.0)
+    base, prior = 10 / 190, toxicity.PRIOR
+    assert abs(index.judge("a")[0] - (1 + prior * base) / (10 + prior)) < 1e-12
+    assert abs(index.judge("b")[0] - prior * base / (9 + prior)) < 1e-12
+    assert toxicity.build([], [], []).judge("a")[0] == 0.5
