@@ -8,12 +8,17 @@ shuffles instead of broadcasting a side, and in which every pair within the thre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions import labels, text
 from rivulet.functions.text import NameOptions
 
+#: Names of a family, or families of a gram, that meet those of the other side in one part.
+TOGETHER = 250
+
 
 def distinct_names(df: DataFrame, id_col: str, name_col: str = "name", options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
     """(name, ord, clean, folded, sorted): one row per distinct name of at least two normalised characters."""
@@ -32,36 +37,105 @@ def _grams(form: Column, size: int) -> Column:
     return F.transform(found, lambda g, i: F.concat(g, (i - F.array_position(found, g)).cast("string")))
 
 
-def close_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str, ...] = ("folded", "sorted")) -> DataFrame:
-    """(l, r) structs of all pairs that are at least ``threshold`` percent alike in one of the forms.
+def _family(form: Column) -> Column:
+    """What numbered copies of one name share: the name with every digit as 0. Two names differ in no fewer letters than their families."""
+    return F.translate(form, "0123456789", "0" * 10)
+
+
+def _within(x: str, y: str, threshold: int) -> str:
+    """SQL for: two names are at least ``threshold`` percent alike."""
+    bound = f"cast(greatest(length({x}), length({y})) * {100 - threshold} div 100 as int)"
+    return f"(abs(length({x}) - length({y})) <= {bound} and levenshtein({x}, {y}, {bound}) >= 0)"
+
+
+def _parts(n: str) -> Column:
+    """In how many parts ``n`` rows are dealt."""
+    return F.expr(f"cast(ceil({n} / {TOGETHER}) as int)")
+
+
+def _number_keys(query: bool) -> Callable[[Column], Column]:
+    """Keys of a clean name of which two names share one if, and only if, they share a number token or the query has none."""
+    none = F.array(F.lit(""))
+    if query:
+        return lambda clean: F.when(F.size(text.digits(clean)) == 0, none).otherwise(text.digits(clean))
+    return lambda clean: F.concat(text.digits(clean), none)
+
+
+def _number_or_part_keys(query: bool) -> Callable[[Column], Column]:
+    """As ``_number_keys``, but names of which one is part of the other share a key too: the numbers of the shorter name then stand in
+    the longer one, where those at its ends may go on."""
+
+    def ends(t: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.array(F.substring(t, F.lit(1), i), F.right(t, i)))
+        return F.when(F.length(t) > 1, F.flatten(inner)).otherwise(F.array().cast("array<string>"))
+
+    def keys(clean: Column) -> Column:
+        own = text.digits(clean)
+        ends_ = F.flatten(F.transform(own, ends))
+        named = lambda kind, values: F.transform(values, lambda t: F.concat(F.lit(kind), t))
+        if query:
+            some = F.concat(F.array(F.lit("none")), named("same ", own), named("query in ", own), named("in query ", ends_))
+            return F.array_distinct(F.when(F.size(own) == 0, F.array(F.lit("any"))).otherwise(some))
+        none = F.when(F.size(own) == 0, F.array(F.lit("any"), F.lit("none"))).otherwise(F.array(F.lit("any")))
+        return F.array_distinct(F.concat(none, named("same ", own), named("query in ", ends_), named("in query ", own)))
+
+    return keys
+
+
+def close_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str, ...] = ("folded", "sorted"), keys: tuple[Callable[[Column], Column], ...] | None = None) -> DataFrame:
+    """(l, r) structs of all pairs that are at least ``threshold`` percent alike in one of the forms, each pair once; rows of a side differ.
+    With ``keys``, which make arrays of the columns ``clean`` of ``left`` and ``right``, only pairs that share an element.
 
     A difference of one letter changes at most q grams of q letters. So names that differ in at most d letters share one of the
     q * d + 1 grams of each that come first in any order common to all names; here the rarest come first, so that frequent
     grams, which many names share, are hardly ever met. A name's d is that of the longest partner it can have.
+
+    Numbered copies of a name share all grams but those of their numbers, so grams only bring families together, each pair of
+    families once, and their names meet then. Neither a frequent gram nor a large family meets in one task: both sides
+    are dealt to parts of about ``TOGETHER`` rows, each of which meets each part of the other side.
     """
     if not 1 <= threshold <= 100:
         raise ValueError(f"threshold must be 1 to 100, not {threshold}")
     size = max(q for q in (1, 2, 3) if q == 1 or q * (100 - threshold) < 100)
-    each_form = F.posexplode(F.array(*on)).alias("k", "form")
+    each_form = F.posexplode(F.array(*(_family(F.col(c)) for c in on))).alias("k", "form")
     sides = left.select(each_form, F.lit(0).alias("side")).unionByName(right.select(each_form, F.lit(1).alias("side")))
-    forms = sides.where("form <> ''").groupBy("k", "form").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    forms = sides.where("form <> ''").groupBy("k", "form").agg(F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right"))
     grams = forms.withColumn("gram", F.explode(_grams(F.col("form"), size)))
     counts = grams.groupBy("k", "gram").agg(F.count("*").alias("n"))
     most = F.expr(f"cast({size} * ((length(form) * 100 div {threshold}) * {100 - threshold} div 100) + 1 as int)")
-    rarest = grams.join(counts, ["k", "gram"]).groupBy("k", "form", "low", "high").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("all"))
-    posts = rarest.select("k", "form", "low", "high", F.explode(F.slice("all", F.lit(1), most)).alias("g")).withColumn("gram", F.col("g.gram"))
-    x = posts.where("low = 0").select("k", "gram", F.col("form").alias("x"))
-    y = posts.where("high = 1").select("k", "gram", F.col("form").alias("y"))
-    bound = f"cast(greatest(length(x), length(y)) * {100 - threshold} div 100 as int)"
-    met = x.join(y, ["k", "gram"]).where(f"abs(length(x) - length(y)) <= {bound} and levenshtein(x, y, {bound}) >= 0").select("k", "x", "y").distinct()
-    l = left.select(F.struct(*left.columns).alias("l"), F.posexplode(F.array(*on)).alias("k", "x"))
-    r = right.select(F.struct(*right.columns).alias("r"), F.posexplode(F.array(*on)).alias("k", "y"))
-    found = met.join(l, ["k", "x"]).join(r, ["k", "y"]).select("l", "r")
-    return found.distinct() if len(on) > 1 else found
-
-
-def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
-    """The best stream name of each channel name: (name, match, score, match_type).
+    rarest = grams.join(counts, ["k", "gram"]).groupBy("k", "form", "n_left", "n_right").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("all"))
+    posts = rarest.withColumn("g", F.explode(F.slice("all", F.lit(1), most))).select("k", "form", "n_left", "n_right", "g.gram", _parts("g.n").alias("parts"))
+    x = posts.where("n_left > 0").select("k", "gram", F.col("form").alias("x"), "n_left", F.expr("pmod(xxhash64(form), parts)").alias("part"))
+    y = posts.where("n_right > 0").select("k", "gram", F.col("form").alias("y"), "n_right", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"))
+    near = f"abs(length(x) - length(y)) <= cast(greatest(length(x), length(y)) * {100 - threshold} div 100 as int)"
+    met = x.join(y, ["k", "gram", "part"]).where(near).groupBy("k", "x", "y", "n_left", "n_right").agg(F.count("*").alias("shared"))
+    # ``shared`` keeps the test after the count, so that each pair of families is compared once and not once a gram.
+    met = met.where(f"if(shared > 0, {_within('x', 'y', threshold)}, false)")
+    rows = lambda side, name: side.select(F.struct(*side.columns).alias(name), F.posexplode(F.array(*on)).alias("k", f"{name}_form"))
+    part = lambda form, n: F.expr(f"pmod(xxhash64({form}), cast(ceil({n} / {TOGETHER}) as int))")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _parts(n).cast("long") - 1))
+    l = rows(left, "l").withColumn("x", _family(F.col("l_form"))).join(met, ["k", "x"]).withColumn("l_part", part("l_form", "n_left")).withColumn("r_part", every("n_right"))
+    r = rows(right, "r").withColumn("y", _family(F.col("r_form"))).join(met, ["k", "y"]).withColumn("r_part", part("r_form", "n_right")).withColumn("l_part", every("n_left"))
+    by = ["k", "x", "y", "l_part", "r_part"]
+    if keys is not None:
+        l, r = (side.withColumn(f"{name}_keys", make(F.col(f"{name}.clean"))).withColumn("key", F.explode(f"{name}_keys")) for side, name, make in ((l, "l", keys[0]), (r, "r", keys[1])))
+        by.append("key")
+    # A number of partitions of their own: few bytes can be many pairs.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = (side.select(*by, *(c for c in (name, f"{name}_form", f"{name}_keys") if c in side.columns)).repartition(n, *by) for side, name in ((l, "l"), (r, "r")))
+    bound = f"cast(length(l_form) * {100 - threshold} div 100 as int)"
+    same_family = f"x = y and length(l_form) - length(translate(l_form, '0123456789', '')) <= {bound}"
+    found = l.join(r, by).where(f"({same_family}) or {_within('l_form', 'r_form', threshold)}")
+    if keys is not None:  # of several keys that two names share, the first
+        found = found.where("key = element_at(array_intersect(l_keys, r_keys), 1)")
+    for k, form in enumerate(on[:-1]):  # alike in an earlier form: found by that
+        found = found.where((F.col("k") <= k) | ~F.expr(f"l.{form} <> '' and r.{form} <> '' and {_within(f'l.{form}', f'r.{form}', threshold)}"))
+    return found.select("l", "r")
+
+
+def winners(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """(name, m): the best stream name of each channel name as a struct (stage, ratio, ord, match) whose smallest value wins, so that
+    the winners of several sets of streams merge by their minimum.
 
     Equal names without spaces win outright; then near-equal names (97 %), then contained names of similar
     length, then the token-sorted form. Within a stage the best ratio wins, then the smaller ``ord``.
@@ -71,7 +145,7 @@ def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options:
     equal = with_key(c).select("key", F.struct("name", "clean", "folded", "sorted").alias("l")).join(with_key(s).select("key", F.struct("name", "ord", "clean", "folded", "sorted").alias("r")), "key")
     guard = text.shares_number(F.col("l.clean"), F.col("r.clean"))
     first = equal.where(guard).select("l.name", F.struct(F.lit(0).alias("stage"), F.lit(-1.0).alias("ratio"), F.col("r.ord").alias("ord"), F.col("r.name").alias("match")).alias("m"))
-    pairs = close_pairs(c.drop("ord"), s, min(threshold, 97)).where(guard)
+    pairs = close_pairs(c.drop("ord"), s, min(threshold, 97), keys=(_number_keys(True), _number_keys(False)))
     ratio, sorted_ratio = text.similarity(F.col("l.folded"), F.col("r.folded")), text.similarity(F.col("l.sorted"), F.col("r.sorted"))
     part = F.contains(F.col("l.folded"), F.col("r.folded")) | F.contains(F.col("r.folded"), F.col("l.folded"))
     close = text.length_close(F.col("l.folded"), F.col("r.folded"))
@@ -79,12 +153,21 @@ def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options:
     rated = pairs.withColumn("ratio", ratio).withColumn("sorted_ratio", sorted_ratio).withColumn("stage", stage).where("stage is not null")
     value = F.when(F.col("stage") == 3, F.col("sorted_ratio")).otherwise(F.col("ratio"))
     rest = rated.select("l.name", F.struct("stage", (-value).alias("ratio"), F.col("r.ord").alias("ord"), F.col("r.name").alias("match")).alias("m"))
-    best = first.unionByName(rest).groupBy("name").agg(F.min("m").alias("m"))
+    return first.unionByName(rest).groupBy("name").agg(F.min("m").alias("m"))
+
+
+def described(best: DataFrame) -> DataFrame:
+    """(name, match, score, match_type) of winners."""
     score = F.floor(F.round(-F.col("m.ratio") * 100, 9)).cast("int")
     kind = F.when(F.col("m.stage") <= 1, "exact").when(F.col("m.stage") == 2, "substring").otherwise(F.concat(F.lit("fuzzy ("), score.cast("string"), F.lit(")")))
     return best.select("name", F.col("m.match").alias("match"), score.alias("score"), kind.alias("match_type"))
 
 
+def gate(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """The best stream name of each channel name: (name, match, score, match_type)."""
+    return described(winners(channels, streams, threshold, options, unicode))
+
+
 def accepts(c: Column, s: Column, threshold: int, strict: bool = False) -> Column:
     """Whether a lower-case stream name belongs to a lower-case channel name once the gate is open."""
     similar = (text.percent(text.similarity(s, c)) >= threshold) | text.same_but_spaces(s, c)
@@ -103,7 +186,8 @@ def collect(channels: DataFrame, streams: DataFrame, threshold: int = 80, option
     """(name, match): every stream name that each channel name accepts."""
     c, s = distinct_names(channels, "channel_id", options=options, unicode=unicode), distinct_names(streams, "stream_id", options=options, unicode=unicode)
     equal = c.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("l").join(s.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("r"), "key")
-    near = close_pairs(c, s, threshold, on=("folded",)).where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
+    keys = _number_keys if strict else _number_or_part_keys
+    near = close_pairs(c, s, threshold, on=("folded",), keys=(keys(True), keys(False))).where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
     same = equal.where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
     return near.select("l.name", F.col("r.name").alias("match")).unionByName(same.select("l.name", F.col("r.name").alias("match"))).distinct()
 

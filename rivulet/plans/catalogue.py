@@ -7,9 +7,6 @@ entities of nations, pages give URLs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from rivulet.functions.text import NameOptions
 from rivulet.operators import assign, guide, match, rank
 from rivulet.plans import jobs
 from rivulet.plans.settings import Settings
+from rivulet.sources.shared import shared_folder
 from rivulet.streaming import rematch
 
 QUERIES: dict = {}
@@ -591,17 +589,17 @@ def token_overlap(spark, d):
     return met.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), text.token_overlap(F.col("a.name"), F.col("b.name")).alias("overlap"))
 
 
-@query()
+@query(f"""WITH {_GATE} SELECT name, match, score,
+  CASE WHEN stage <= 1 THEN 'exact' WHEN stage = 2 THEN 'substring' ELSE 'fuzzy (' || score || ')' END AS match_type FROM gate""")
 def stream_rematch(spark, d):
-    """Matching as a stream: all parts arrive, the gate runs per micro-batch, the results are read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-")
-    at = f"{folder}/rematch-{uuid.uuid4().hex}"
+    """Matching as a stream: parts arrive in three files, the winners of each micro-batch merge with those before, the result is read back."""
+    at = shared_folder(spark, "rematch")
     source = _t(spark, d, "part").select("p_partkey", "p_name")
-    source.write.parquet(f"{at}/in")
+    source.repartition(3, "p_partkey").write.parquet(f"{at}/in")
     channels = _channels(spark, d)
-    run = rematch.on_arrival(spark, f"{at}/in", source.schema, lambda b: match.gate(channels, b.selectExpr("p_partkey as stream_id", "p_name as name"), 80, unicode=False), f"{at}/out", f"{at}/check")
-    run.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("name", "match", "score", "match_type")
+    best = lambda batch: match.winners(channels, batch.selectExpr("p_partkey as stream_id", "p_name as name"), 80, unicode=False)
+    rematch.on_arrival(spark, f"{at}/in", source.schema, best, f"{at}/out", f"{at}/check", max_files=1).awaitTermination()
+    return match.described(rematch.current(spark, f"{at}/out"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
