@@ -16,6 +16,9 @@ frequent text (by the words around the longest one), and counts where it is a te
 Templates are joined to the pages by host; they are broadcast only after their size has been counted
 and found below ``MOST_BROADCAST`` tokens, and else joined by a shuffle that can split a large host.
 
+A class or an id is a hint only: words after "no", "has", "with" or "without" don't count, an ``article`` or ``main`` is shut only by a class or id that is such a word as a whole, and
+where all articles of a page, or without any nine tenths of its text, stand in an element that its class would shut, that element is open.
+
 Defined cases: null or empty html gives an empty text; a null url belongs to the host ''; hosts of one page have no
 template and keep all slots of the article; broken or cut markup is read as far as it goes; without an
 article the smallest element that holds all remaining text besides links is taken whole; repeated rows are repeated pages; other columns pass through.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, saved
+from .common import read, saved, unused
 
 NAME = "op3_main_text"
 ORACLE_SQL = None
@@ -39,6 +42,8 @@ ORACLE_SQL = None
 MOST_BROADCAST = 200_000
 #: Two articles that share a line quote each other; three are the least that show a template.
 LEAST_CONTENTS = 3
+#: Text of an element, in times of the open text, that opens the element whatever its class.
+MOST_TEXT = 9
 
 #: Fixed values of HTML and of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +56,7 @@ FURNITURE = set(
     header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login
     share sharing social related recommended comment comments commentlist reply replies respond disqus form search copyright disclaimer pagination pager toolbar skip hidden""".split()
 )
+DENIALS = {"no", "has", "with", "without"}
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends open tags of its own kind up to the nearest of these.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -59,17 +65,49 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+def _hints(value: str, article: bool) -> bool:
+    """Whether a class or id speaks of furniture."""
+    for own in value.split():
+        words = re.findall("[a-z]+", own)
+        if article:
+            words = words if len(words) == 1 else []
+        elif words and words[0] in DENIALS:
+            continue
+        if not FURNITURE.isdisjoint(words):
+            return True
+    return False
+
+
+def read_page(source: str) -> Page:
+    """The page, with elements open that their class would shut though they hold what the page is about."""
+    opened: frozenset[int] = frozenset()
+    while True:
+        page = Page(source, opened)
+        if page.has_article:
+            return page
+        more = page.shuts_article
+        if not more:
+            own = {n: size for n, size in page.shut_by.items() if n > 0 and size > MOST_TEXT * page.shut_by.get(0, 0)}
+            more = {max(own, key=lambda n: (own[n], -n))} if own and not opened else set()
+        if not more:
+            return page
+        opened |= more
+
+
 class Page:
     """Tokens and text of one page. Each text node: (block, token, text, shut, in article, container, in a link)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, opened: frozenset[int] = frozenset()):
         from xxhash import xxh64_intdigest
 
         self.tokens: list[tuple[int, int, str, str]] = []  # token, token around it, label, text in an article
         self.texts: list[tuple[int, int, str, bool, bool, int, bool]] = []
         self.outer = [0]  # the container around each container
-        stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]  # name, token, shut, in article, container, in a link
-        block = at = 0
+        #: Whether an article is open; the elements, by number, that alone shut an article; the text that an element shuts by class.
+        self.has_article, self.shuts_article, self.shut_by = False, set(), {}
+        # Name, token, shut (0 no, -1 for good, else the number of the outermost element that is shut by its class), in article, container, in a link.
+        stack: list[tuple[str, int, int, bool, int, bool]] = [("", 0, 0, False, 0, False)]
+        block = at = number = 0
         lower = source.lower()
 
         def text(raw: str) -> None:
@@ -77,6 +115,7 @@ class Page:
             if words or raw:
                 _, around, shut, inside, container, link = stack[-1]
                 token = xxh64_intdigest(words, around & (2**64 - 1)) if words else 0
+                self.shut_by[shut] = self.shut_by.get(shut, 0) + len(words)
                 if words and not shut:
                     self.tokens.append((token, around, "text", words if inside else ""))
                 self.texts.append((block, token, entities.unescape(raw), shut, inside, container, link))
@@ -117,21 +156,30 @@ class Page:
                         del stack[k:]
                         break
             _, around, shut, inside, container, link = stack[-1]
-            label, furniture = name, name in OUTSIDE
+            number += 1
+            label, furniture, hint = name, name in OUTSIDE, False
             if m[3].strip():
                 for key, *values in ATTRIBUTE.findall(m[3]):
                     key, value = key.lower(), "".join(values).lower()
-                    words = re.findall("[a-z]+", value)
                     if key in ("class", "id"):
                         if key == "class":
-                            label += "." + ".".join(words)
-                        furniture |= not FURNITURE.isdisjoint(words)
+                            label += "." + ".".join(re.findall("[a-z]+", value))
+                        hint |= _hints(value, name in ("article", "main"))
                     elif key == "role":
                         furniture |= value in ROLES
                     else:
                         furniture |= key == "hidden" or value == "true"
             if name in ("html", "body"):
-                furniture = False  # a page's own class says nothing of its parts
+                furniture = hint = False  # a page's own class says nothing of its parts
+            hint &= number not in opened
+            if name in ("article", "main") and not furniture and not hint:
+                self.has_article |= not shut
+                if shut > 0:
+                    self.shuts_article.add(shut)
+            if furniture and shut >= 0:
+                shut = -1
+            elif hint and not shut:
+                shut = number
             token = xxh64_intdigest(label, around & (2**64 - 1))
             self.tokens.append((token, around, label, ""))
             if name in VOID or m[3].endswith("/") and name in ("svg", "path", "use"):
@@ -139,13 +187,13 @@ class Page:
             if name in RAW:
                 end = lower.find(f"</{name}", at)
                 at = len(source) if end < 0 else end
-                stack.append((name, token, True, inside, container, link))
+                stack.append((name, token, -1, inside, container, link))
                 continue
             inside = inside or name in ("article", "main")
             if name not in INLINE and name != "p":
                 self.outer.append(container)
                 container = len(self.outer) - 1
-            stack.append((name, token, shut or furniture, inside, container, link or name == "a" and not re.fullmatch("h[1-6]", stack[-1][0])))
+            stack.append((name, token, shut, inside, container, link or name == "a" and not re.fullmatch("h[1-6]", stack[-1][0])))
 
     def main_text(self, template: set[int]) -> str:
         open_ = [t for t in self.texts if not t[3]]
@@ -197,7 +245,7 @@ def tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 rows = []
                 for host, page, source in zip(*(c.to_pylist() for c in part.columns)):
                     seen: dict[int, list] = {0: [host, page, 0, 0, "page", 1, -1, 0, 0]}
-                    for k, (token, around, label, words) in enumerate(Page(source or "").tokens):
+                    for k, (token, around, label, words) in enumerate(read_page(source or "").tokens):
                         if token in seen:
                             seen[token][5] += 1
                         else:
@@ -205,7 +253,9 @@ def tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     rows += seen.values()
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-    return pages.select(host_of(url_col).alias("host"), F.col(id_col).cast("long").alias("page"), F.col(html_col).alias("html")).mapInArrow(
+    whole = isinstance(pages.schema[id_col].dataType, T.IntegralType)
+    page_ = F.col(id_col).cast("long") if whole else F.xxhash64(id_col)
+    return pages.select(host_of(url_col).alias("host"), page_.alias("page"), F.col(html_col).alias("html")).mapInArrow(
         run, "host string, page long, token long, around long, label string, n int, at int, size int, sketch long"
     )
 
@@ -259,23 +309,24 @@ def article_template(inside: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pages`` with ``main_text``."""
-    passed = [f for f in pages.schema.fields if f.name.lower() not in ("main_text", "template_tokens")]
-    found = saved(templates(pages, id_col, url_col, html_col).select(F.col("host").alias("template_host"), F.explode("tokens").alias("token")))
-    by_host = found.groupBy("template_host").agg(F.collect_list("token").alias("template_tokens"))
+    passed = [f for f in pages.schema.fields if f.name.lower() != "main_text"]
+    host, held = unused(pages, "template_host"), unused(pages, "template_tokens")
+    found = saved(templates(pages, id_col, url_col, html_col).select(F.col("host").alias(host), F.explode("tokens").alias("token")))
+    by_host = found.groupBy(host).agg(F.collect_list("token").alias(held))
     if found.count() <= most_broadcast:
         by_host = F.broadcast(by_host)
-    joined = pages.select(*(f.name for f in passed)).join(by_host, host_of(url_col) == F.col("template_host"), "left").drop("template_host")
+    joined = pages.select(*(f.name for f in passed)).join(by_host, host_of(url_col) == F.col(host), "left").drop(host)
 
     def run(batches):
         last, template = None, set()
         for batch in batches:
             sources = batch.column(batch.schema.get_field_index(html_col))
-            lists = batch.column(batch.schema.get_field_index("template_tokens"))
+            lists = batch.column(batch.schema.get_field_index(held))
             out = []
             for source, tokens_ in zip(sources, lists):
                 if (own := tokens_.as_py() or []) != last:
                     last, template = own, {t & (2**64 - 1) for t in own}
-                out.append(Page(source.as_py() or "").main_text(template))
+                out.append(read_page(source.as_py() or "").main_text(template))
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in passed]
             yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.string())], names=[*(f.name for f in passed), "main_text"])
 

@@ -10,8 +10,11 @@ all others cannot qualify. Only then are those few scores resolved exactly. The
 of all queries of a block are two matrix products a round, because an entry that a bound may not
 know is clipped to what the bound knows. The best k of each block are merged in a window per query.
 
-Defined cases: null vectors, empty ones, and those holding null or non-finite components, or one of ``MOST`` or more, take no
-part, nor do rows without an id; a query row that is repeated counts once; candidates that are repeated count each; vectors of different lengths never meet; rows with the query's id are not its candidates; equal
+Bounds and scores are computed in floating point where that is exact, in 64 bits where the components are larger, and in whole numbers of any
+size where 64 bits don't hold them.
+
+Defined cases: null vectors, empty ones, and those holding null or non-finite components, or one whose 256-fold 64 bits don't hold, take no
+part (a score that 64 bits don't hold is given as the nearest number that they do), nor do rows without an id; a query row that is repeated counts once; candidates that are repeated count each; vectors of different lengths never meet; rows with the query's id are not its candidates; equal
 scores go to the smaller id; a query with fewer candidates than k returns all of them; other columns are ignored.
 """
 
@@ -30,8 +33,8 @@ NAME = "op4_topk"
 BLOCK, QUERIES = 8192, 256
 #: Shares of the lists that are read by the end of each round.
 DEPTHS = (0.05, 0.15, 0.3, 0.5, 0.75, 1.0)
-#: Components from here on could make a score that 64 bits don't hold (for vectors of up to 2,048 of them).
-MOST = 2.0**18
+#: 256 times a component from here on isn't a 64-bit number.
+MOST = 2.0**55
 #: A query stops once at most this many items can still qualify.
 FEW = 128
 
@@ -49,7 +52,7 @@ def usable(embedding: str) -> Column:
 def best(items: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(row of the query, id, score) of the k best items of one block for each query."""
     biggest = int(np.abs(items).max(initial=0)) * int(np.abs(queries).max(initial=0)) * items.shape[1]
-    kind = np.float64 if biggest < 2**52 else np.int64  # sums are exact in either
+    kind = np.float64 if biggest < 2**52 else np.int64 if biggest < 2**62 else object  # sums are exact in each
     lists = np.sort(items, axis=0)
     worst = {True: lists[0], False: lists[-1]}
     up, down = np.maximum(queries, 0).astype(kind).T, np.minimum(queries, 0).astype(kind).T
@@ -62,16 +65,18 @@ def best(items: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarra
         upper = bound(np.where(seen_up, items, high), np.where(seen_down, items, low))
         lower = bound(np.where(seen_up, items, worst[True]), np.where(seen_down, items, worst[False]))
         mine = ids[:, None] == own[waiting][None, :]
-        low_end = np.iinfo(np.int64).min // 2
+        low_end = -(biggest + 1)
         lower[mine] = upper[mine] = low_end
-        least = np.partition(lower, n - k, axis=0)[n - k] if n >= k else np.full(len(waiting), low_end, kind)
+        least = (np.sort(lower, axis=0) if kind is object else np.partition(lower, n - k, axis=0))[n - k] if n >= k else np.full(len(waiting), low_end, kind)
         qualify = (upper >= least) & ~mine
         done = (qualify.sum(axis=0) <= max(FEW, k)) | (read_ == n)
         for j in np.flatnonzero(done):
             rows = np.flatnonzero(qualify[:, j])
-            scores = items[rows] @ queries[waiting[j]]
-            for r in np.lexsort((ids[rows], -scores))[:k]:
-                out.append((int(waiting[j]), int(ids[rows[r]]), int(scores[r])))
+            exact = object if kind is object else np.int64
+            scores = (items[rows].astype(exact) @ queries[waiting[j]].astype(exact)).tolist()
+            own_ids = ids[rows].tolist()
+            for r in sorted(range(len(rows)), key=lambda r: (-scores[r], own_ids[r]))[:k]:  # noqa: B023
+                out.append((int(waiting[j]), own_ids[r], scores[r]))
         waiting = waiting[~done]
         if not len(waiting):
             break
@@ -93,7 +98,7 @@ def search(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", em
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         own = left.query_id.to_numpy()
         found = best(np.stack(right.v.to_list()), right.vec_id.to_numpy(), np.stack(left.v.to_list()), own, k)
-        return pd.DataFrame([(own[i], v, s) for i, v, s in found], columns=["query_id", "vec_id", "score"], dtype="int64")
+        return pd.DataFrame([(own[i], v, min(max(s, -(2**63)), 2**63 - 1)) for i, v, s in found], columns=["query_id", "vec_id", "score"], dtype="int64")
 
     keys = ["cb", "qb", "d"]
     met = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")

@@ -86,3 +86,28 @@ def test_an_article_in_a_div_keeps_its_short_parts():
     assert lines[:2] == ["Title", "Part"] and lines[52:] == ["one", "two", "Quote", "code", "head", "cell", "Last"] and len(lines) == 59
     assert html.Page(f"<h1><a>Linked title</a></h1><div>{prose}</div>").main_text(set()).startswith("Linked title\nParagraph 0")
     assert html.Page("<div><a>Only</a></div><p><a>links</a></p>").main_text(set()) == "Only\nlinks"
+
+
+def _own(source):
+    return html.read_page(source).main_text(set())
+
+
+def test_classes_that_hold_the_article_do_not_empty_the_page():
+    article = "<article><h1>Title</h1><p>Body text.</p></article>"
+    menu = "<div class='sidebar'><p>Side</p></div>"
+    for wrap in ('class="content no-sidebar"', 'id="page" class="has-sidebar"', 'class="header-page"', 'id="search-page"'):
+        assert _own(f"<body><div {wrap}>{article}{menu}</div></body>") == "Title\nBody text."
+        assert _own(f"<body><div {wrap}><main><p>Body text.</p></main>{menu}</div>") == "Body text."
+    assert _own('<article class="post comment-status-open"><p>Body.</p></article>') == "Body."
+    assert _own(f'{article}<div class="related"><article><p>Other story</p></article></div>') == "Title\nBody text."
+    assert _own(f'{article}<div class="comments"><article class="comment"><p>First!</p></article></div>') == "Title\nBody text."
+    assert _own('<div class="comments"><article class="comment"><p>First!</p></article></div><div><p>The long text of the page itself.</p></div>') == "The long text of the page itself."
+    assert _own(f'<div class="social-frame"><div><p>{"Long text. " * 9}</p></div></div><p>Short</p>') == ("Long text. " * 9).strip() + "\nShort"
+    assert _own(f"<aside>{article}</aside><p>Open</p>") == "Open"
+
+
+def test_string_ids_and_clashing_columns(spark):
+    rows = [(f"p{k}", "http://h/x", f"<div><p>Notice of the host</p><article><p>Text {k}</p></article></div>") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").selectExpr("*", "1 AS template_host", "2 AS Template_Tokens", "3 AS main_text")
+    out = html.extract(df)
+    assert {(r.page_id, r.main_text, r.template_host, r.Template_Tokens) for r in out.collect()} == {(f"p{k}", f"Text {k}", 1, 2) for k in range(4)}

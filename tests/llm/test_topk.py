@@ -56,3 +56,17 @@ def test_repeated_queries_null_ids_and_huge_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = topk.search(df, df.where("vec_id = 1 or vec_id is null"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 2, 32768), (1, 2, 2, 32768)]
+
+
+def test_components_of_any_size_are_exact(spark):
+    """Beyond 2^18, beyond what floating point holds exactly, and with scores beyond 64 bits."""
+    rows = [(0, [1.0, 1.0]), (1, [300000.0, 1.0]), (2, [0.5, 0.5]), (3, [2.0**45, -(2.0**45)]), (4, [2.0**45 + 0.0625, -(2.0**45)]), (50, [2.0**54, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()}
+    q = {i: [int(x * 256 // 1) for x in v] for i, v in rows}
+    for own in (0, 50):
+        ranked = sorted((-sum(a * b for a, b in zip(q[own], q[j])), j) for j in q if j != own)
+        want = [(own, k, j, min(-s, 2**63 - 1)) for k, (s, j) in enumerate(ranked[:5], 1)]
+        got = sorted(r for r in found if r[0] == own)
+        assert {r[2:] for r in got} == {w[2:] for w in want}
+        assert own or got == want
