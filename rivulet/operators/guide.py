@@ -15,6 +15,23 @@ def airing(programmes: DataFrame, now: Column, key: str = "epg_id") -> DataFrame
     return on.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def airing_at(programmes: DataFrame, moments: DataFrame, key: str = "epg_id", at: str = "at", moment_id: str = "moment_id") -> DataFrame:
+    """(moment_id, start_time, title): what is on at each moment, the earliest programme of those with start_time <= at < end_time.
+
+    A programme is filed under bins as long as it is, to the next power of two seconds, and so under two at most, whatever its length; a moment looks into one
+    bin of each length that its key has. The join is on key, length and bin, which also parts a key that holds much of the table.
+    """
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    bin_ = lambda c: F.floor(seconds(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    long_ = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(seconds("end_time") - seconds("start_time"), F.lit(1.0)))).cast("int"))
+    filed = programmes.where("start_time < end_time").withColumn("level", long_)
+    filed = filed.withColumn("bin", F.explode(F.array_distinct(F.array(bin_("start_time"), bin_("end_time"))))).select(key, "level", "bin", "start_time", "end_time", "title")
+    levels = filed.groupBy(key).agg(F.collect_set("level").alias("levels"))  # at most some forty
+    looked = moments.select(moment_id, key, at).join(levels, key).select(moment_id, key, at, F.explode("levels").alias("level")).withColumn("bin", bin_(at))
+    on = looked.join(filed, [key, "level", "bin"]).where((F.col("start_time") <= F.col(at)) & (F.col(at) < F.col("end_time")))
+    return on.groupBy(moment_id).agg(F.min(F.struct("start_time", "title")).alias("p")).select(moment_id, "p.start_time", "p.title")
+
+
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

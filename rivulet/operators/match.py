@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import labels, text
 from rivulet.functions.text import NameOptions
+from rivulet.sources.shared import kept
 
 #: Names of a family, or families of a gram, that meet those of the other side in one part.
 TOGETHER = 250
@@ -29,6 +30,11 @@ def distinct_names(df: DataFrame, id_col: str, name_col: str = "name", options:
     )
 
 
+def prepared(df: DataFrame, id_col: str, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """``distinct_names`` as a table: matching reads it several times, and normal forms are long expressions."""
+    return kept(distinct_names(df, id_col, options=options, unicode=unicode), "names")
+
+
 def _grams(form: Column, size: int) -> Column:
     """All grams of that size of a name and the edges around it; those that stand in it several times are numbered."""
     edge = "\x01" * (size - 1)
@@ -133,27 +139,54 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str
     return found.select("l", "r")
 
 
-def winners(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
-    """(name, m): the best stream name of each channel name as a struct (stage, ratio, ord, match) whose smallest value wins, so that
-    the winners of several sets of streams merge by their minimum.
+def _rated(c: DataFrame, s: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(name, ord, match) of equal names without spaces, and (name, ord, match, ratio, sorted_ratio, part) of all pairs that some threshold
+    from ``threshold`` on may take. ``c`` and ``s``: the ``prepared`` names of channels and streams."""
+    with_key = lambda df: df.withColumn("key", text.nospace(F.col("clean")))
+    equal = with_key(c).select("key", F.struct("name", "clean").alias("l")).join(with_key(s).select("key", F.struct("name", "ord", "clean").alias("r")), "key")
+    first = equal.where(text.shares_number(F.col("l.clean"), F.col("r.clean"))).select("l.name", "r.ord", F.col("r.name").alias("match"))
+    pairs = close_pairs(c.drop("ord"), s, min(threshold, 97), keys=(_number_keys(True), _number_keys(False)))
+    part = F.contains(F.col("l.folded"), F.col("r.folded")) | F.contains(F.col("r.folded"), F.col("l.folded"))
+    rest = pairs.select(
+        "l.name", "r.ord", F.col("r.name").alias("match"),
+        text.similarity(F.col("l.folded"), F.col("r.folded")).alias("ratio"), text.similarity(F.col("l.sorted"), F.col("r.sorted")).alias("sorted_ratio"),
+        (part & text.length_close(F.col("l.folded"), F.col("r.folded"))).alias("part"),
+    )
+    return first, rest
+
+
+def _staged(first: DataFrame, rest: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
+    """(*by, m): the smallest struct (stage, ratio, ord, match) of what a threshold takes.
 
     Equal names without spaces win outright; then near-equal names (97 %), then contained names of similar
     length, then the token-sorted form. Within a stage the best ratio wins, then the smaller ``ord``.
     """
-    c, s = distinct_names(channels, "channel_id", options=options, unicode=unicode), distinct_names(streams, "stream_id", options=options, unicode=unicode)
-    with_key = lambda df: df.withColumn("key", text.nospace(F.col("clean")))
-    equal = with_key(c).select("key", F.struct("name", "clean", "folded", "sorted").alias("l")).join(with_key(s).select("key", F.struct("name", "ord", "clean", "folded", "sorted").alias("r")), "key")
-    guard = text.shares_number(F.col("l.clean"), F.col("r.clean"))
-    first = equal.where(guard).select("l.name", F.struct(F.lit(0).alias("stage"), F.lit(-1.0).alias("ratio"), F.col("r.ord").alias("ord"), F.col("r.name").alias("match")).alias("m"))
-    pairs = close_pairs(c.drop("ord"), s, min(threshold, 97), keys=(_number_keys(True), _number_keys(False)))
-    ratio, sorted_ratio = text.similarity(F.col("l.folded"), F.col("r.folded")), text.similarity(F.col("l.sorted"), F.col("r.sorted"))
-    part = F.contains(F.col("l.folded"), F.col("r.folded")) | F.contains(F.col("r.folded"), F.col("l.folded"))
-    close = text.length_close(F.col("l.folded"), F.col("r.folded"))
-    stage = F.when(F.col("ratio") >= 0.97, 1).when(part & close & (F.col("ratio") * 100 >= threshold), 2).when(text.percent(F.col("sorted_ratio")) >= threshold, 3)
-    rated = pairs.withColumn("ratio", ratio).withColumn("sorted_ratio", sorted_ratio).withColumn("stage", stage).where("stage is not null")
+    stage = F.when(F.col("ratio") >= 0.97, 1).when(F.col("part") & (F.col("ratio") * 100 >= threshold), 2).when(text.percent(F.col("sorted_ratio")) >= threshold, 3)
+    staged = rest.withColumn("stage", stage).where("stage is not null")
     value = F.when(F.col("stage") == 3, F.col("sorted_ratio")).otherwise(F.col("ratio"))
-    rest = rated.select("l.name", F.struct("stage", (-value).alias("ratio"), F.col("r.ord").alias("ord"), F.col("r.name").alias("match")).alias("m"))
-    return first.unionByName(rest).groupBy("name").agg(F.min("m").alias("m"))
+    rated = staged.select(*by, F.struct("stage", (-value).alias("ratio"), "ord", "match").alias("m"))
+    sure = first.select(*by, F.struct(F.lit(0).alias("stage"), F.lit(-1.0).alias("ratio"), "ord", "match").alias("m"))
+    return sure.unionByName(rated).groupBy(*by).agg(F.min("m").alias("m"))
+
+
+def winners(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """(name, m): the best stream name of each channel name as a struct (stage, ratio, ord, match) whose smallest value wins, so that
+    the winners of several sets of streams merge by their minimum."""
+    return winners_of(prepared(channels, "channel_id", options, unicode), prepared(streams, "stream_id", options, unicode), threshold)
+
+
+def winners_of(c: DataFrame, s: DataFrame, threshold: int = 80) -> DataFrame:
+    """``winners`` of ``prepared`` names."""
+    first, rest = _rated(c, s, threshold)
+    return _staged(first, rest, F.lit(threshold), ["name"])
+
+
+def winners_by_threshold(channels: DataFrame, streams: DataFrame, thresholds: list[int], options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """(name, threshold, m): ``winners`` at each threshold, out of the pairs of the lowest one."""
+    each = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    c, s = prepared(channels, "channel_id", options, unicode), prepared(streams, "stream_id", options, unicode)
+    first, rest = (df.select("*", each) for df in _rated(c, s, min(thresholds)))
+    return _staged(first, rest, F.col("threshold"), ["name", "threshold"])
 
 
 def described(best: DataFrame) -> DataFrame:
@@ -184,7 +217,11 @@ def accepts(c: Column, s: Column, threshold: int, strict: bool = False) -> Colum
 
 def collect(channels: DataFrame, streams: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True, strict: bool = False) -> DataFrame:
     """(name, match): every stream name that each channel name accepts."""
-    c, s = distinct_names(channels, "channel_id", options=options, unicode=unicode), distinct_names(streams, "stream_id", options=options, unicode=unicode)
+    return collect_of(prepared(channels, "channel_id", options, unicode), prepared(streams, "stream_id", options, unicode), threshold, strict)
+
+
+def collect_of(c: DataFrame, s: DataFrame, threshold: int = 80, strict: bool = False) -> DataFrame:
+    """``collect`` of ``prepared`` names."""
     equal = c.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("l").join(s.withColumn("key", F.replace("folded", F.lit(" "), F.lit(""))).alias("r"), "key")
     keys = _number_keys if strict else _number_or_part_keys
     near = close_pairs(c, s, threshold, on=("folded",), keys=(keys(True), keys(False))).where(accepts(F.col("l.folded"), F.col("r.folded"), threshold, strict))
@@ -205,6 +242,34 @@ def alias_matches(channels: DataFrame, streams: DataFrame, aliases: DataFrame, o
     return out.distinct()
 
 
+def cascade(channels: DataFrame, stations: DataFrame, premium: DataFrame, threshold: int = 80, options: NameOptions = NameOptions(), unicode: bool = True) -> DataFrame:
+    """(channel_id, tier, key, category): a channel's station by its callsign (tier 1), else the entry of the best name (tier 2), else nulls.
+
+    Stations: key, tier, category; premium entries: channel_name, category. A callsign in full goes before its base, and of equal keys or names the smallest
+    category counts.
+    """
+    calls = channels.select("channel_id", "name", labels.resolved_callsign(F.col("name")).alias("c"))
+    listed = stations.groupBy("key").agg(F.min("category").alias("category"))
+    named = calls.select("channel_id", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("c").alias("key")), F.struct(F.lit(2).alias("at"), labels.base_callsign(F.col("c")).alias("key")))).alias("k"))
+    by_call = named.select("channel_id", "k.at", "k.key").join(listed, "key").groupBy("channel_id").agg(F.min(F.struct("at", "key", "category")).alias("s"))
+    rest = channels.join(by_call, "channel_id", "left_anti").select("channel_id", "name")
+    entries = premium.groupBy("channel_name").agg(F.min("category").alias("category"))
+    ordered = entries.select(F.xxhash64("channel_name").alias("stream_id"), F.col("channel_name").alias("name"))
+    best = gate(rest, ordered, threshold, options, unicode).select("name", F.col("match").alias("channel_name")).join(entries, "channel_name")
+    by_name = rest.join(best, "name").select("channel_id", F.struct(F.lit(2).alias("tier"), F.col("channel_name").alias("key"), "category").alias("f"))
+    out = channels.select("channel_id").join(by_call, "channel_id", "left").join(by_name, "channel_id", "left")
+    return out.select("channel_id", F.when(F.col("s").isNotNull(), 1).otherwise(F.col("f.tier")).alias("tier"), F.coalesce("s.key", "f.key").alias("key"), F.when(F.col("s").isNotNull(), F.col("s.category")).otherwise(F.col("f.category")).alias("category"))
+
+
+def database_country(channels: DataFrame, database: DataFrame) -> DataFrame:
+    """(channel_id, country): the country that all database entries of a channel's name agree on, by the exact name or, without one, the name in any
+    case; null where they differ or there is none."""
+    entries = database.select("channel_name", F.upper("country_code").alias("code"))
+    own = channels.select("channel_id", "name")
+    found = tiered(own, entries).groupBy("channel_id").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    return own.select("channel_id").join(found, "channel_id", "left").select("channel_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("country"))
+
+
 def callsign_matches(channels: DataFrame, streams: DataFrame, upper: bool = True) -> DataFrame:
     """(channel_id, stream_id): streams that hold the channel's callsign as a word."""
     form = F.upper if upper else (lambda c: c)

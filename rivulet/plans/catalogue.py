@@ -242,15 +242,41 @@ def country_filter(spark, d):
     return s.where(match.country_kept(F.lit("UK"), F.col("country"))).select("s_suppkey", "country")
 
 
+def _labelled(spark, d):
+    """Rows with a group's name and a guide id that both carry a code."""
+    return _t(spark, d, "customer").select(
+        F.expr("concat(substr(c_mktsegment, 1, 2), '| news')").alias("channel_group_name"),
+        F.expr("CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('name.', lower(concat(substr(c_mktsegment, 1, 1), substr(c_mktsegment, cast(2 + c_custkey % 2 as int), 1)))) END").alias("tvg_id"),
+    )
+
+
 @query("""WITH l AS (SELECT upper(substr(c_mktsegment, 1, 2)) AS group_code, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE upper(substr(c_mktsegment, 1, 1) || substr(c_mktsegment, 2 + c_custkey % 2, 1)) END AS tvg_code FROM customer)
 SELECT group_code, tvg_code, count(*) AS n FROM l WHERE tvg_code IS NOT NULL GROUP BY 1, 2""")
 def country_agreement(spark, d):
     """How often two labels of a row name the same country."""
-    c = _t(spark, d, "customer").select(
-        F.expr("concat(substr(c_mktsegment, 1, 2), '| news')").alias("channel_group_name"),
-        F.expr("CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('name.', lower(concat(substr(c_mktsegment, 1, 1), substr(c_mktsegment, cast(2 + c_custkey % 2 as int), 1)))) END").alias("tvg_id"),
-    )
-    return jobs.country_agreement(c)
+    return jobs.country_agreement(_labelled(spark, d))
+
+
+_LABELS = """(SELECT upper(substr(c_mktsegment, 1, 2)) AS group_code, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE upper(substr(c_mktsegment, 1, 1) || substr(c_mktsegment, 2 + c_custkey % 2, 1)) END AS tvg_code FROM customer)"""
+
+
+@query(f"""SELECT group_code, tvg_code, count(*) AS n, count(*) FILTER (group_code = tvg_code) AS n_agree, count(*) FILTER (group_code = tvg_code) * 100.0::DOUBLE / count(*) AS rate
+FROM {_LABELS} WHERE tvg_code IS NOT NULL GROUP BY GROUPING SETS ((group_code, tvg_code), ())""")
+def country_report(spark, d):
+    """How often two labels of a row agree, by their codes and in all."""
+    return jobs.country_report(_labelled(spark, d))
+
+
+@query("""SELECT c_custkey AS channel_id, CASE WHEN min(code) = max(code) THEN min(code) END AS country FROM customer LEFT JOIN (
+  SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'US' WHEN k = 0 THEN 'UK' ELSE 'CA' END AS code FROM nation, (VALUES (0), (1)) t(k) WHERE n_nationkey % 5 <> 4) ON n_nationkey = c_nationkey GROUP BY 1""")
+def channel_country(spark, d):
+    """The country that all entries of a channel's name agree on."""
+    n = _t(spark, d, "nation")
+    database = n.where("n_nationkey % 5 <> 4").select(F.col("n_name").alias("channel_name"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.expr("n_nationkey % 3 = 0").alias("one"))
+    database = database.withColumn("country_code", F.expr("CASE WHEN one THEN 'us' WHEN k = 0 THEN 'uk' ELSE 'ca' END"))
+    name = F.expr("CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE initcap(n_name) END")
+    channels = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("channel_id"), name.alias("name"))
+    return match.database_country(channels, database)
 
 
 @query("""WITH x AS (SELECT s_suppkey, s_nationkey, s_acctbal, s_nationkey % 3 = 0 AS same, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier)
@@ -438,6 +464,46 @@ def threshold_sweep(spark, d):
     return rated.where("score >= 65").select("name", steps).groupBy("threshold").agg(F.count_distinct("name").alias("n_channels"), F.count("*").alias("n_matches"))
 
 
+_SWEPT = f"""{_GATE.split('staged AS')[0].rstrip().rstrip(',')}, t(threshold) AS (VALUES (80), (75), (70), (65)),
+staged AS (SELECT *, CASE WHEN same THEN 0 WHEN ratio >= 0.97 THEN 1 WHEN part AND near AND ratio * 100 >= threshold THEN 2 WHEN floor(sorted_ratio * 100) >= threshold THEN 3 END AS stage FROM rated, t),
+best AS (SELECT *, CASE WHEN stage = 0 THEN 1 WHEN stage = 3 THEN sorted_ratio ELSE ratio END AS value FROM staged WHERE stage IS NOT NULL),
+swept AS (SELECT name, threshold, match FROM best QUALIFY row_number() OVER (PARTITION BY name, threshold ORDER BY stage, value DESC, ord) = 1)"""
+
+
+@query(f"""WITH {_SWEPT} SELECT name, CAST(threshold AS INTEGER) AS threshold, match FROM swept a
+WHERE threshold = 80 OR NOT EXISTS (SELECT 1 FROM swept b WHERE b.threshold = 80 AND b.name = a.name AND b.match = a.match)""")
+def preview(spark, d):
+    """The job: best matches at each threshold of the sweep, below the present one only new ones."""
+    return jobs.preview(_channels(spark, d), _streams(spark, d), Settings(threshold=80), unicode=False)
+
+
+_GROUPED = "concat(p_name, CASE p_size % 4 WHEN 0 THEN ' (W)' WHEN 1 THEN ' [4K]' WHEN 2 THEN ' (VIP)' ELSE '' END)"
+
+
+@query("""WITH c AS (SELECT p_partkey AS channel_id, p_name AS g, CASE p_size % 4 WHEN 0 THEN 'WEST' ELSE 'DEFAULT' END AS zone, CASE p_size % 4 WHEN 1 THEN 0 ELSE 7 END AS tag, CAST(p_size AS DOUBLE) AS num FROM part WHERE p_partkey % 3 = 0),
+r AS (SELECT *, CASE WHEN zone = 'DEFAULT' OR g IN (SELECT g FROM c GROUP BY 1 HAVING count(DISTINCT zone) > 1) THEN zone END AS route FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY tag, num, channel_id) AS place FROM r),
+z AS (SELECT *, max(place <= 2) OVER w AS covered, min(place) OVER w AS first FROM p WINDOW w AS (PARTITION BY g, route)),
+v AS (SELECT * FROM z WHERE place <= 2 OR (route IS NOT NULL AND NOT covered AND first = place)),
+s AS (SELECT p_partkey AS stream_id, p_name AS n, p_name || CASE p_size % 3 WHEN 0 THEN ' (W)' WHEN 1 THEN ' (E)' ELSE '' END AS name, CASE p_size % 3 WHEN 0 THEN 'WEST' WHEN 1 THEN 'EAST' ELSE 'DEFAULT' END AS szone, p_brand, p_size % 4 AS prio FROM part),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name, p_brand ORDER BY prio, stream_id) = 1),
+m AS (SELECT v.channel_id, b.stream_id, route, szone, prio, coalesce(route IS NULL OR szone <> CASE route WHEN 'WEST' THEN 'EAST' ELSE 'WEST' END, false) AS keeps FROM v JOIN b ON b.n = v.g),
+k AS (SELECT *, max(keeps) OVER (PARTITION BY channel_id) AS kept FROM m)
+SELECT channel_id, stream_id, 'fuzzy' AS kind, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY
+  CASE WHEN route IS NULL THEN 0 WHEN route = 'WEST' THEN CASE szone WHEN 'WEST' THEN 0 WHEN 'DEFAULT' THEN 1 ELSE 2 END ELSE CASE szone WHEN 'WEST' THEN 2 ELSE 0 END END, prio, stream_id) AS INTEGER) AS rank
+FROM k WHERE keeps OR NOT kept""")
+def match_groups(spark, d):
+    """The job: the first channel of each group is matched, and its streams go to the group's visible channels by feed zone."""
+    p = _t(spark, d, "part")
+    channels = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("channel_id"), F.expr(_GROUPED).alias("name"), F.col("p_size").alias("channel_number"))
+    none = F.lit(None).cast("int")
+    streams = p.select(
+        F.col("p_partkey").alias("stream_id"), F.expr("concat(p_name, CASE p_size % 3 WHEN 0 THEN ' (W)' WHEN 1 THEN ' (E)' ELSE '' END)").alias("name"), F.lit("").alias("url"),
+        F.col("p_brand").alias("m3u_account"), (F.col("p_size") % 4).alias("m3u_priority"), none.alias("width"), none.alias("height"), none.alias("source_fps"),
+    )
+    return jobs.match_groups(channels, streams, Settings(threshold=100, visible_limit=2))
+
+
 # Guide and probes -----------------------------------------------------------------------------------------------
 
 _NOW = "2024-01-08 12:00:00"
@@ -457,6 +523,14 @@ def programme_now(spark, d):
     return guide.airing(_programmes(spark, d), F.lit(_NOW).cast("timestamp_ntz")).select("epg_id", "title")
 
 
+@query(f"""WITH {_PROGRAMME_SQL}, m AS (SELECT event_id, user_id, ts + INTERVAL 25 MINUTE AS moment FROM events)
+SELECT m.event_id, start_time, title FROM m JOIN p ON epg_id = user_id AND start_time <= moment AND end_time > moment QUALIFY row_number() OVER (PARTITION BY m.event_id ORDER BY start_time, title) = 1""")
+def programme_at(spark, d):
+    """What is on 25 minutes after each event."""
+    moments = _t(spark, d, "events").select("event_id", F.col("user_id").alias("epg_id"), (F.col("ts") + F.expr("interval 25 minutes")).alias("at"))
+    return guide.airing_at(_programmes(spark, d), moments, moment_id="event_id")
+
+
 @query(f"WITH {_PROGRAMME_SQL}, k AS (SELECT min(n_nationkey) AS epg_id, 'id' || (n_nationkey % 9) AS tvg_id FROM nation GROUP BY 2) SELECT s_suppkey, k.epg_id, title FROM supplier LEFT JOIN k ON k.tvg_id = 'id' || (s_nationkey % 11) LEFT JOIN (SELECT epg_id, title FROM p WHERE start_time <= TIMESTAMP '{_NOW}' AND end_time > TIMESTAMP '{_NOW}') o ON o.epg_id = k.epg_id")
 def tvg_epg_join(spark, d):
     """Streams to guide entries by tvg id, the first entry counting, and on to the programme that is on."""
@@ -490,6 +564,16 @@ def throughput_tier(spark, d):
     return _t(spark, d, "events").select("event_id", tier.alias("tier"), rank.tier_label(tier).alias("label"))
 
 
+@query(f"""WITH f AS (SELECT user_id FROM events WHERE value > 5 AND date_diff('second', ts, TIMESTAMP '{_NOW}') < 60 * 60 * 24),
+t AS (SELECT p_partkey AS stream_id, p_brand AS account FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT user_id FROM f))
+SELECT stream_id, account, CAST(row_number() OVER (PARTITION BY account ORDER BY stream_id) AS INTEGER) AS turn FROM t""")
+def probe_queue(spark, d):
+    """Assigned streams to probe, accounts taking turns."""
+    cache = _t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.when(F.col("value") > 5, F.col("value")).alias("mbps"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("measured_at"))
+    streams = _t(spark, d, "part").select(F.col("p_partkey").alias("stream_id"), F.col("p_brand").alias("m3u_account"))
+    return jobs.probe_queue(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("stream_id")), streams, cache, F.lit(_NOW).cast("timestamp"), 1440)
+
+
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def cache_upsert(spark, d):
     """The newest probe of each key."""

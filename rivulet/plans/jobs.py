@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rivulet.functions import labels, text
 from rivulet.functions import values as v
 from rivulet.functions.text import NameOptions
-from rivulet.operators import assign, match, rank
+from rivulet.operators import assign, guide, match, rank
+from rivulet.sources.shared import kept
 
 from .settings import Settings
 
@@ -21,16 +22,26 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
     network_affiliation, community_served_city. A channel collects only if its gate finds a stream name, or aliases or titles give it one.
     Matching reads names after the user's rules; what is kept and deduplicated has its own name.
     """
-    o = NameOptions(ignored_tags=s.ignored_tags)
+    return _matched(channels, streams, s, aliases, titles, stations, now).select("channel_id", "stream_id", "kind", "rank")
+
+
+def _matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataFrame | None, titles: DataFrame | None, stations: DataFrame | None, now: Column | None) -> DataFrame:
+    """As ``matched``, with the stream's name and ``same``, how its country agrees with the channel's."""
+    o = s.names()
     raw = streams
+    if titles is not None and s.placeholders:  # names that only stand for what is on now
+        on = titles.groupBy("stream_id").agg(F.min("title").alias("title_now"))
+        named = F.when(guide.placeholder(F.col("name"), list(s.placeholders)), F.coalesce("title_now", "name")).otherwise(F.col("name"))
+        streams = streams.drop("title_now").join(on, "stream_id", "left").withColumn("name", named).drop("title_now")
     if s.rules:
         streams = streams.withColumn("name", text.apply_rules(F.col("name"), list(s.rules)))
     if s.aliases:
         own = [(k, x) for k, xs in s.aliases.items() for x in ([xs] if isinstance(xs, str) else xs)]
         own = channels.sparkSession.createDataFrame(own, "canonical string, variant string")
         aliases = own if aliases is None else aliases.select("canonical", "variant").union(own).distinct()
-    open_ = match.gate(channels, streams, s.threshold, o).select("name")
-    names = match.collect(channels.join(open_, "name", "left_semi"), streams, s.threshold, o)
+    c, n = match.prepared(channels, "channel_id", o), match.prepared(streams, "stream_id", o)
+    open_ = kept(match.winners_of(c, n, s.threshold).select("name"), "open")
+    names = kept(match.collect_of(c.join(open_, "name", "left_semi"), n, s.threshold), "collected")
     pairs = channels.select("channel_id", "name").join(names, "name").select("channel_id", F.col("match").alias("m"))
     fuzzy = pairs.join(streams.select("stream_id", F.col("name").alias("m")), "m").select("channel_id", "stream_id")
     parts = {}
@@ -53,7 +64,37 @@ def matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataF
     ordered = rank.ranked(found.where("name is not null"), ["channel_id"], order)
     by = ["channel_id", "name", "m3u_account"] + ([F.nullif(F.col("url"), F.lit(""))] if s.dedup_url else [])
     once = rank.keep_first(ordered, by, [F.col("rank")])
-    return rank.ranked(once, ["channel_id"], [F.col("rank")]).select("channel_id", "stream_id", "kind", "rank")
+    return rank.ranked(once, ["channel_id"], [F.col("rank")]).select("channel_id", "stream_id", "kind", "rank", "name", "same")
+
+
+def match_groups(channels: DataFrame, streams: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None, stations: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(channel_id, stream_id, kind, rank) by groups of channels: the first of each group is matched, and its streams go to the channels of the group that
+    show them.
+
+    Channels have the columns that ``matched`` asks for[, channel_number]. A group is a callsign or a clean name (and a country, where matching is restricted to it). Its first
+    ``visible_limit`` channels by quality tag, number and id receive streams, and the first one of each feed zone that they lack. A channel whose
+    name other channels carry with another zone, or that has no zone, doesn't take streams of the opposite coast while it has others, and
+    takes those of its own coast first, among streams of its country.
+    """
+    number = F.col("channel_number").cast("double") if "channel_number" in channels.columns else F.lit(None).cast("double")
+    own = channels.select("channel_id", "name", number.alias("channel_number"), *(c for c in ("country",) if c in channels.columns))
+    own = own.withColumn("clean", text.normalize(F.col("name"), s.names()))
+    country = (F.col("country") if "country" in own.columns else labels.country_of_name(F.col("name"))) if s.restrict_country else None
+    groups = rank.grouped(own, F.col("clean"), labels.paren_callsign(F.col("name")), country)
+    zoned = groups.withColumn("zone", labels.zone(F.col("name"))).withColumn("base", F.lower(F.trim("clean")))
+    routed = rank.repeated_zones(zoned, "base", "zone").withColumn("route", F.when(F.col("is_routed"), F.col("zone")))
+    placed = routed.select(F.col("channel_id").alias("id"), "group_key", "route", "channel_number", rank.tag_index(F.col("name")).alias("tag_index"))
+    receivers = kept(rank.visible(placed, s.visible_limit, "route").select(F.col("id").alias("channel_id"), "group_key", "place", "route"), "receivers")
+    first = receivers.where("place = 1").select("channel_id", "group_key")
+    found = kept(_matched(channels.join(first, "channel_id", "left_semi"), streams, s, aliases, titles, stations, now), "matched")
+    given = found.join(first, "channel_id").drop("channel_id").join(receivers.select("channel_id", "group_key", "route"), "group_key")
+    given = given.withColumn("stream_zone", labels.zone(F.col("name")))
+    opposite = F.when(F.col("route") == "WEST", "EAST").otherwise("WEST")
+    given = given.withColumn("keeps", F.col("route").isNull() | (F.col("stream_zone") != opposite))
+    given = given.withColumn("kept", F.max("keeps").over(Window.partitionBy("channel_id"))).where("keeps or not kept")
+    near = F.when(F.col("route").isNull(), 0).otherwise(labels.zone_rank(F.col("route"), F.col("stream_zone")))
+    order = [F.when(F.col("same") == "SAME", 0).otherwise(1), near, F.col("rank")]
+    return rank.ranked(given, ["channel_id"], order, "new_rank").select("channel_id", "stream_id", "kind", F.col("new_rank").alias("rank"))
 
 
 def quality_order(found: DataFrame, s: Settings, now: Column | None = None) -> list[Column]:
@@ -106,21 +147,27 @@ def corroborated_callsigns(calls: DataFrame, streams: DataFrame, stations: DataF
 
 
 def match_and_assign(channels: DataFrame, streams: DataFrame, current: DataFrame, s: Settings, aliases: DataFrame | None = None, titles: DataFrame | None = None, stations: DataFrame | None = None) -> DataFrame:
-    found = matched(channels, streams, s, aliases, titles, stations)
+    """The assignments after matching by groups; channels without a match keep theirs."""
+    found = match_groups(channels, streams, s, aliases, titles, stations)
     return assign.overwritten(current, found) if s.overwrite else assign.appended(current, found)
 
 
-def preview(channels: DataFrame, streams: DataFrame, s: Settings) -> DataFrame:
-    """(name, threshold, match): per threshold of the sweep the stream names that clean to the best match's name."""
-    o, out = NameOptions(ignored_tags=s.ignored_tags), None
-    clean = match.distinct_names(streams, "stream_id", options=o).select(F.col("name").alias("stream"), "clean")
-    for t in rank.sweep(s.threshold):
-        best = match.gate(channels, streams, t, o).select("name", F.col("match").alias("stream")).join(clean, "stream").select("name", "clean")
-        rows = best.join(clean, "clean").select("name", F.lit(t).alias("threshold"), F.col("stream").alias("match"))
-        out = rows if out is None else out.unionByName(rows)
-    now = out.where(F.col("threshold") == s.threshold).select("name", "match")
-    lower = out.where(F.col("threshold") < s.threshold).join(now, ["name", "match"], "left_anti")
-    return out.where(F.col("threshold") == s.threshold).unionByName(lower)
+def preview(channels: DataFrame, streams: DataFrame, s: Settings, unicode: bool = True) -> DataFrame:
+    """(name, threshold, match): per threshold of the sweep the stream names that clean to the best match's name; below the present
+    threshold only those that it doesn't give. All thresholds are read from the pairs of the lowest."""
+    o = s.names()
+    clean = match.distinct_names(streams, "stream_id", options=o, unicode=unicode).select(F.col("name").alias("stream"), "clean")
+    best = match.winners_by_threshold(channels, streams, rank.sweep(s.threshold), o, unicode).select("name", "threshold", F.col("m.match").alias("stream"))
+    rows = best.join(clean, "stream").select("name", "threshold", "clean").join(clean, "clean").select("name", "threshold", F.col("stream").alias("match"))
+    present = F.max(F.col("threshold") == s.threshold).over(Window.partitionBy("name", "match"))
+    return rows.withColumn("present", present).where((F.col("threshold") == s.threshold) | ~F.col("present")).drop("present")
+
+
+def few_matches(previewed: DataFrame, threshold: int, most: int = 3, examples: int = 5) -> DataFrame:
+    """(name, n, matches): the first ``examples`` channels with at most ``most`` matches at a threshold, and these."""
+    few = previewed.where(F.col("threshold") == threshold).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    own = previewed.where(F.col("threshold") == threshold).join(few, "name").groupBy("name", "n").agg(F.sort_array(F.collect_list("match")).alias("matches"))
+    return own.orderBy("n", "name").limit(examples)
 
 
 def recommendations(previewed: DataFrame) -> DataFrame:
@@ -136,6 +183,24 @@ def country_agreement(streams: DataFrame) -> DataFrame:
     return both.where("group_code is not null and tvg_code is not null").groupBy("group_code", "tvg_code").agg(F.count("*").alias("n"))
 
 
+def country_report(streams: DataFrame) -> DataFrame:
+    """(group_code, tvg_code, n, n_agree, rate) of streams with both labels: a row for each two codes and one for all (nulls), with the share
+    in percent of rows whose codes agree. One pass over the streams."""
+    both = streams.select(labels.group_label(F.col("channel_group_name")).alias("group_code"), labels.tvg_label(F.col("tvg_id")).alias("tvg_code")).where("group_code is not null and tvg_code is not null")
+    same = F.count_if(F.col("agree"))
+    counts = both.withColumn("agree", F.col("group_code") == F.col("tvg_code")).groupingSets([["group_code", "tvg_code"], []], "group_code", "tvg_code").agg(F.count("*").alias("n"), same.alias("n_agree"))
+    return counts.withColumn("rate", F.col("n_agree") * 100.0 / F.col("n"))
+
+
+def probe_queue(current: DataFrame, streams: DataFrame, cache: DataFrame, now: Column, ttl_minutes: float) -> DataFrame:
+    """(stream_id, account, turn): assigned streams whose probe is missing or too old, each once. Accounts take turns: those of the first turn are
+    probed first, one of each account at a time, by id."""
+    fresh = cache.where(rank.fresh(F.col("measured_at"), F.col("mbps"), now, ttl_minutes)).select("stream_id")
+    todo = streams.join(current.select("stream_id"), "stream_id", "left_semi").join(fresh, "stream_id", "left_anti")
+    todo = todo.select("stream_id", F.coalesce(F.col("m3u_account").cast("string"), F.lit("0")).alias("account"))
+    return rank.ranked(todo, ["account"], [F.col("stream_id")], "turn")
+
+
 def rule_test(streams: DataFrame, rules: list[tuple[str, str]], samples: int = 20) -> tuple[DataFrame, DataFrame]:
     """Counts of names that the rules change, and the first changed ones."""
     new = streams.withColumn("match_name", text.apply_rules(F.col("name"), rules))

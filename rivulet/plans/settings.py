@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
 from rivulet.functions import labels, text
+from rivulet.functions.text import NameOptions
 
+#: Whether tags of quality, region, country and other kinds are ignored.
+TAG_HANDLING = {"strip_all": [True, True, True, True], "keep_regional": [True, False, True, True], "keep_all": [False, False, False, False]}
 #: Threshold of each sensitivity, and the one where none is set.
 THRESHOLDS = {"relaxed": 70, "normal": 80, "strict": 90, "exact": 95}
 
@@ -74,12 +77,20 @@ class Settings:
     rules: tuple = ()
     aliases: dict = field(default_factory=dict)
     placeholders: tuple[str, ...] = ()
+    ignore: tuple[bool, bool, bool, bool] = (True, True, True, True)
+
+    def names(self) -> NameOptions:
+        """How names are read."""
+        quality, regional, geographic, misc = self.ignore
+        return NameOptions(quality=quality, regional=regional, geographic=geographic, misc=misc, ignored_tags=self.ignored_tags)
 
     @classmethod
     def of(cls, raw: dict) -> Settings:
-        threshold = THRESHOLDS.get(str(raw.get("match_sensitivity", "")).lower(), 85 if raw.get("match_sensitivity") is None and "fuzzy_match_threshold" in raw else 80)
-        if "fuzzy_match_threshold" in raw:
-            threshold = int(number(raw["fuzzy_match_threshold"], threshold))
+        # A sensitivity decides; a number counts without one, within what a share can be.
+        threshold = THRESHOLDS.get(str(raw.get("match_sensitivity", "")).lower())
+        if threshold is None:
+            threshold = max(1, min(100, int(number(raw["fuzzy_match_threshold"], 85)))) if "fuzzy_match_threshold" in raw else 80
+        flags = TAG_HANDLING.get(raw.get("tag_handling", "")) or [yes(raw.get(f"ignore_{k}_tags"), True) for k in ("quality", "regional", "geographic", "misc")]
         aliases = json.loads(raw["custom_aliases"]) if raw.get("custom_aliases") else {}
         return cls(
             threshold=threshold, ignored_tags=tuple(tag_list(raw.get("ignore_tags"))), restrict_country=yes(raw.get("restrict_matching_to_country")),
@@ -88,7 +99,7 @@ class Settings:
             floor_kbps=number(raw.get("content_bitrate_floor_kbps"), 300.0, 0), margin=number(raw.get("throughput_margin"), 1.0, 0), ttl_minutes=number(raw.get("probe_cache_ttl_minutes"), 1440.0, 0),
             audio_channels=tuple(priority_list(raw.get("audio_channels"))), audio_codecs=tuple(priority_list(raw.get("audio_codecs"))),
             overrides=labels.parse_overrides(raw.get("prefix_country_overrides")), rules=tuple(text.checked_rules(json.loads(raw["regex_rules"]))) if raw.get("regex_rules") else (),
-            aliases=aliases, placeholders=tuple(tag_list(raw.get("placeholder_patterns"))),
+            aliases=aliases, placeholders=tuple(tag_list(raw.get("placeholder_patterns"))), ignore=tuple(flags),
         )
 
 

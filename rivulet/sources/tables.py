@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +81,12 @@ def alias_rows(spark: SparkSession, *maps: dict[str, list[str]]) -> DataFrame:
 
 
 def throughput_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The probe cache; empty where there is none or it can't be read."""
+    """The probe cache; empty where there is none."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  a missing or broken cache is an empty one
+    except AnalysisException as e:  # no such path, or no Parquet in it; what else goes wrong is an error
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], PROBE)
     return df.select(*(F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], PROBE).schema))
 
@@ -117,6 +120,23 @@ def write_assignments(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def write_changed(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Puts the new streams of the channels in ``df`` (channel_id, stream_id, ord) into a table that ``write_changed`` keeps in ``buckets`` of
+    channels. Buckets without such a channel keep their files."""
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64("channel_id"), F.lit(buckets)).cast("int")
+    new = df.select("channel_id", "stream_id", "ord").withColumn("bucket", bucket)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.schema("channel_id long, stream_id long, ord int, bucket int").parquet(path)
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        stays = held.where(F.col("bucket").isin(touched)).join(new.select("channel_id").distinct(), "channel_id", "left_anti")
+        new = new.select("channel_id", "stream_id", F.col("ord").cast("int"), "bucket").unionByName(stays)
+    out = new.repartition("bucket").sortWithinPartitions("bucket", "channel_id", "ord")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark.catalog.refreshByPath(path)
+
+
 def kept_reports(files: DataFrame, newest: int = 8, min_age_s: int = 2400):
     """Of (path, mtime, now) rows those that retention keeps: the newest ones and those too young to go."""
     w = Window.orderBy(F.desc("mtime"))
