@@ -113,10 +113,8 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: int, on: tuple[str
     posts = rarest.withColumn("g", F.explode(F.slice("all", F.lit(1), most))).select("k", "form", "n_left", "n_right", "g.gram", _parts("g.n").alias("parts"))
     x = posts.where("n_left > 0").select("k", "gram", F.col("form").alias("x"), "n_left", F.expr("pmod(xxhash64(form), parts)").alias("part"))
     y = posts.where("n_right > 0").select("k", "gram", F.col("form").alias("y"), "n_right", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"))
-    near = f"abs(length(x) - length(y)) <= cast(greatest(length(x), length(y)) * {100 - threshold} div 100 as int)"
-    met = x.join(y, ["k", "gram", "part"]).where(near).groupBy("k", "x", "y", "n_left", "n_right").agg(F.count("*").alias("shared"))
-    # ``shared`` keeps the test after the count, so that each pair of families is compared once and not once a gram.
-    met = met.where(f"if(shared > 0, {_within('x', 'y', threshold)}, false)")
+    # Most families that share a gram by chance differ, which the bounded distance tells faster than a grouping of all meetings would.
+    met = x.join(y, ["k", "gram", "part"]).where(_within("x", "y", threshold)).select("k", "x", "y", "n_left", "n_right").distinct()
     rows = lambda side, name: side.select(F.struct(*side.columns).alias(name), F.posexplode(F.array(*on)).alias("k", f"{name}_form"))
     part = lambda form, n: F.expr(f"pmod(xxhash64({form}), cast(ceil({n} / {TOGETHER}) as int))")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _parts(n).cast("long") - 1))
