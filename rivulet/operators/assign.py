@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.columns import first_rows
+
 
 def overwritten(current: DataFrame, matched: DataFrame) -> DataFrame:
     """Matched channels get their ranked streams; channels without a match keep what they have. ``matched`` has rank."""
@@ -41,8 +43,7 @@ def visibility(channels: DataFrame, current: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """An upsert's outcome: the newest row of each key; of those as new the one whose other columns come first."""
-    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), *(c for c in rows.columns if c not in (key, at)))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_rows(rows, [key], [F.col(at).desc_nulls_last(), *(c for c in rows.columns if c not in (key, at))])
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions import text
+from rivulet.operators.columns import first_rows
 
 
 def airing(programmes: DataFrame, now: Column, key: str = "epg_id") -> DataFrame:
     """The earliest programme of each key with start_time <= now < end_time."""
     on = programmes.where((F.col("start_time") <= now) & (F.col("end_time") > now))
-    w = Window.partitionBy(key).orderBy("start_time", "title")
-    return on.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_rows(on, [key], ["start_time", "title"])
 
 
 def airing_at(programmes: DataFrame, moments: DataFrame, key: str = "epg_id", at: str = "at", moment_id: str = "moment_id") -> DataFrame:
@@ -33,8 +33,7 @@ def airing_at(programmes: DataFrame, moments: DataFrame, key: str = "epg_id", at
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_rows(df, [key], [order])
 
 
 def placeholder(name: Column, patterns: list[str]) -> Column:

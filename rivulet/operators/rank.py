@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import labels
 from rivulet.functions import values as v
+from rivulet.operators.columns import first_rows, unused
 
 
 def in_groups(col: str, groups: list[str], mode: str = "include") -> Column:
@@ -111,8 +112,7 @@ def ranked(df: DataFrame, by: list[str], key: list[Column], name: str = "rank")
 
 def keep_first(df: DataFrame, by: list[Column | str], key: list[Column]) -> DataFrame:
     """The first row of each partition. Blank URLs should be made null, which is one value."""
-    rn = Window.partitionBy(*by).orderBy(*key)
-    return df.withColumn("_rn", F.row_number().over(rn)).where("_rn = 1").drop("_rn")
+    return first_rows(df, by, key)
 
 
 def tag_index(name: Column) -> Column:
@@ -135,16 +135,18 @@ def visible(channels: DataFrame, limit: int, zone: str | None = None) -> DataFra
     if zone is None:
         return out.where(F.col("place") <= limit)
     w = Window.partitionBy("group_key", zone)
-    out = out.withColumn("_covered", F.max(F.col("place") <= limit).over(w)).withColumn("_first", F.min("place").over(w) == F.col("place"))
-    return out.where((F.col("place") <= limit) | (F.col(zone).isNotNull() & ~F.col("_covered") & F.col("_first"))).drop("_covered", "_first")
+    covered, first = unused(out, "covered"), unused(out, "first")
+    out = out.withColumn(covered, F.max(F.col("place") <= limit).over(w)).withColumn(first, F.min("place").over(w) == F.col("place"))
+    return out.where((F.col("place") <= limit) | (F.col(zone).isNotNull() & ~F.col(covered) & F.col(first))).drop(covered, first)
 
 
 def zone_routed(df: DataFrame, channel_zone: str, stream_zone: str, by: str = "channel_id") -> DataFrame:
     """Without the streams of the opposite zone, unless a channel has no others; with ``zone_rank``."""
     opposite = F.when(F.col(channel_zone) == "WEST", "EAST").otherwise("WEST")
     keep = F.col(stream_zone) != opposite
-    kept = F.sum(keep.cast("int")).over(Window.partitionBy(by))
-    return df.withColumn("_kept", kept).where(keep | (F.col("_kept") == 0)).drop("_kept").withColumn("zone_rank", labels.zone_rank(F.col(channel_zone), F.col(stream_zone)))
+    kept = unused(df, "kept")
+    left = df.withColumn(kept, F.sum(keep.cast("int")).over(Window.partitionBy(by))).where(keep | (F.col(kept) == 0)).drop(kept)
+    return left.withColumn("zone_rank", labels.zone_rank(F.col(channel_zone), F.col(stream_zone)))
 
 
 def repeated_zones(df: DataFrame, base: str, zone: str) -> DataFrame:

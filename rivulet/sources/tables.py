@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions import labels
+from rivulet.operators.columns import first_rows
 
 CHANNELS = ["id", "name", "channel_number", "channel_group_id", "epg_data_id"]
 STREAMS = ["id", "name", "m3u_account", "url", "channel_group", "tvg_id"]
@@ -67,8 +68,7 @@ def stations(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(STATION).option("multiLine", True).json(path).withColumn("ord", F.monotonically_increasing_id())
     keys = F.array(F.struct(F.upper("callsign").alias("key"), F.lit(1).alias("tier")), F.struct(labels.base_callsign(F.upper("callsign")).alias("key"), F.lit(2).alias("tier")))
     df = df.where("callsign <> ''").withColumn("k", F.explode(keys)).select("*", "k.key", "k.tier").drop("k")
-    w = Window.partitionBy("key", "tier").orderBy("ord")
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "ord")
+    return first_rows(df, ["key", "tier"], ["ord"]).drop("ord")
 
 
 def alias_rows(spark: SparkSession, *maps: dict[str, list[str]]) -> DataFrame:
@@ -139,5 +139,6 @@ def write_changed(df: DataFrame, path: str, buckets: int = 64) -> None:
 
 def kept_reports(files: DataFrame, newest: int = 8, min_age_s: int = 2400):
     """Of (path, mtime, now) rows those that retention keeps: the newest ones and those too young to go."""
-    w = Window.orderBy(F.desc("mtime"))
-    return files.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= newest) | (F.col("now") - F.col("mtime") < min_age_s)).drop("_rn")
+    newest_ = files.orderBy(F.desc("mtime"), "path").limit(newest).select("path").withColumn("newest", F.lit(True))
+    kept = F.col("newest").isNotNull() | (F.col("now") - F.col("mtime") < min_age_s)
+    return files.join(newest_, "path", "left").where(kept).select(*files.columns)

@@ -151,3 +151,15 @@ def test_country_report(spark):
     df = spark.createDataFrame(rows, "channel_group_name string, tvg_id string")
     got = {tuple(r) for r in jobs.country_report(df).collect()}
     assert {r[:4] for r in got} == {("UK", "UK", 1, 1), ("UK", "US", 1, 0), ("US", "US", 1, 1), (None, None, 3, 2)}
+
+
+def test_helper_columns_leave_a_users_columns_alone(spark):
+    from rivulet.operators import assign, rank
+
+    df = spark.createDataFrame([(1, 1, 5, "a"), (1, 2, 6, "b"), (2, 1, 7, "c")], "k int, o int, place int, covered string").withColumn("kept", F.lit("x"))
+    assert {tuple(r) for r in rank.keep_first(df, ["k"], [F.col("o")]).collect()} == {(1, 1, 5, "a", "x"), (2, 1, 7, "c", "x")}
+    assert {tuple(r) for r in assign.latest(df, "k", "o").collect()} == {(1, 2, 6, "b", "x"), (2, 1, 7, "c", "x")}
+    zoned = rank.zone_routed(df.withColumns({"cz": F.lit("WEST"), "sz": F.when(F.col("o") == 1, "EAST").otherwise("WEST")}), "cz", "sz", "k")
+    assert {(r.k, r.o, r.kept) for r in zoned.collect()} == {(1, 2, "x"), (2, 1, "x")}
+    files = spark.createDataFrame([("a", 1, 9000), ("b", 2, 9000), ("c", 8000, 9000)], "path string, mtime long, now long")
+    assert {r.path for r in tables.kept_reports(files, newest=1).collect()} == {"c"} and {r.path for r in tables.kept_reports(files, newest=2).collect()} == {"b", "c"}
