@@ -14,12 +14,12 @@ path's row holds the hash of its anchor, the hash of its content, and its place.
    source coordinates must agree all along.
 
 A path is identified by 64 bits of its content within the 64 bits of its anchor. Counting and finding the first place have
-partial sums. The joins by anchor and by path aren't salted: a passage that a third of all documents hold puts one row for each of its
-paths and copies in a task, which only adaptive execution splits.
+partial sums. Anchors, paths and edges with more than one row in ``SHARES`` of all repeated ones, of which there can be no more than
+``SHARES``, are named to all tasks, and their rows dealt to ``PARTS`` parts in the joins.
 
 Defined cases: a null or empty text has no words; a text with fewer words than the window keeps all;
 rows with the same id count as one document and need the same text; a null id is a document before all others;
-other columns pass through, those with the names of the outputs are replaced.
+other columns pass through, those with the names of the outputs, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from .common import read, saved, unused
 NAME = "op1_substring_dedup"
 
 WINDOW, ANCHOR = 20, 6
+#: A key is hot with more than one in ``SHARES`` of the rows, at least ``HOT``; its rows meet in ``PARTS`` parts.
+SHARES, HOT, PARTS = 2000, 10_000, 128
 
 #: Odd multipliers of the rolling hash and of the final mix.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -142,22 +144,35 @@ def _edges(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("id", asked.schema[0].dataType), T.StructField("at", T.IntegerType())]))
 
 
+def _met(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` (with id and at) joined with ``keys``, one row for each key with ``n``, how many of ``rows`` have it; hot keys in parts.
+    ``total`` is at least the sum of ``n``."""
+    least = max(HOT, total // SHARES)
+    hot = keys.where(F.col("n") > least).select(*on, F.lit(True).alias("hot"))
+    own = rows.join(F.broadcast(hot), on, "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "at"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("hot")
+    parts = F.explode(F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return own.join(keys.withColumn("part", parts).drop("n"), [*on, "part"]).drop("part")
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, until, source, source_start): spans of words whose edges all start earlier too."""
     docs = df.select(id_col, text_col)
     every = paths(docs)
-    often = every.groupBy("anchor").count().where("count > 1").select("anchor")
-    repeated = saved(every.join(often, "anchor"))
+    often = saved(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = often.agg(F.sum("n")).first()[0] or 0
+    repeated = saved(_met(every, often, ["anchor"], rows))
     place = F.min(F.struct("id", "at")).alias("first")
-    firsts = repeated.groupBy("anchor", "content", "edges").agg(place)
-    later = repeated.join(firsts, ["anchor", "content", "edges"]).where("struct(id, at) <> first")
+    firsts = saved(repeated.groupBy("anchor", "content", "edges").agg(place, F.count("*").alias("n")))
+    later = _met(repeated, firsts.where("n > 1"), ["anchor", "content", "edges"], rows).where("struct(id, at) <> first")
 
     branching = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
     asked = firsts.join(branching, "anchor", "left_semi").groupBy(F.col("first.id").alias("asked")).agg(F.collect_set("first.at").alias("starts"))
-    # The same exchange of the texts serves this join, for both its readers, and the join with the spans.
+    # The same exchange of the texts serves this join, for all its readers, and the join with the spans.
     edges = _edges(docs.join(asked, F.col(id_col).eqNullSafe(F.col("asked"))).select(id_col, text_col, "starts"))
-    first_edges = edges.groupBy("anchor", "edge").agg(place, F.count("*").alias("n")).where("n > 1").drop("n")
-    later_edges = edges.join(first_edges, ["anchor", "edge"]).where("struct(id, at) <> first")
+    n_edges = firsts.join(branching, "anchor", "left_semi").agg(F.sum("edges")).first()[0] or 0
+    # The second condition always holds; it keeps the plan of the hot edges that of all, so that both read one exchange.
+    first_edges = edges.groupBy("anchor", "edge").agg(place, F.count("*").alias("n")).where("n > 1 and first is not null")
+    later_edges = _met(edges, first_edges, ["anchor", "edge"], n_edges).where("struct(id, at) <> first")
 
     found = later.select("id", "at", "edges", "first").unionByName(later_edges.select("id", "at", F.lit(1).alias("edges"), "first"))
     found = found.select("id", "at", (F.col("at") + F.col("edges")).alias("next"), F.col("first.id").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"))
@@ -173,16 +188,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the kept words in ``text_col`` joined by one space, n_words, n_removed and ``spans``."""
-    key, spans = unused(df, "key"), unused(df, "removed")
+    key, spans, own_ranges = unused(df, "key"), unused(df, "removed"), unused(df, "ranges")
     found = repeated_spans(df, id_col, text_col).groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("start", "until", "source", "source_start")).alias(spans))
-    passed = [f for f in df.schema.fields if f.name not in ("n_words", "n_removed", "spans")]
+    passed = [f for f in df.schema.fields if f.name.lower() not in ("n_words", "n_removed", "spans")]
     joined = df.select(*(f.name for f in passed)).join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
     schema = T.StructType([*passed, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
         for part in _in_parts(batches):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-            ranges = part.column(part.schema.get_field_index("ranges")).to_pylist()
+            ranges = part.column(part.schema.get_field_index(own_ranges)).to_pylist()
             kept, sizes, gone = [], [], []
             for text, own in zip(texts, ranges):
                 words = text.encode().split() if text else []
@@ -199,7 +214,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), part.column(part.schema.get_field_index(spans))], names=[*(f.name for f in passed), "n_words", "n_removed", "spans"])
 
     spans_type = joined.schema[spans].dataType
-    narrowed = joined.withColumn("ranges", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["until"].alias("until"))))
+    narrowed = joined.withColumn(own_ranges, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["until"].alias("until"))))
     return narrowed.mapInArrow(run, T.StructType([*schema.fields, T.StructField("spans", spans_type)]))
 
 

@@ -71,3 +71,26 @@ def test_query_digest(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for i, (n, gone, kept) in brute(list(texts.items())).items():
         assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_hot_anchors_paths_and_edges_meet_in_parts(spark, monkeypatch):
+    """As by brute force when keys are hot from the second row on."""
+    monkeypatch.setattr(s, "HOT", 1)
+    monkeypatch.setattr(s, "SHARES", 10**9)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        lead = rng.choices(["a", "b", "c"], k=rng.randint(0, 3))
+        rows.append((i, " ".join(lead + passage[rng.randint(0, 12) : rng.randint(30, 60)] + [f"t{i % 7}"])))
+    found = collected(s.dedup_substrings(docs(spark, rows)))
+    for i, expected in brute(rows).items():
+        assert (found[i].n_words, found[i].n_removed, found[i].text) == expected
+
+
+def test_names_of_helper_columns_and_outputs_in_another_case(spark):
+    same = " ".join(f"y{k}" for k in range(25))
+    df = docs(spark, [(1, same), (2, same)]).withColumns({"ranges": F.lit("own"), "Key": F.lit(7), "REMOVED": F.lit(8), "N_Words": F.lit(9), "Spans": F.lit(1)})
+    rows = {r.doc_id: r.asDict() for r in s.dedup_substrings(df).collect()}
+    assert rows[2]["ranges"] == "own" and rows[2]["Key"] == 7 and rows[2]["REMOVED"] == 8
+    assert rows[2]["n_words"] == 25 and rows[2]["n_removed"] == 25 and "N_Words" not in rows[2] and len(rows[2]["spans"]) == 1
