@@ -267,6 +267,17 @@ def country_report(spark, d):
     return jobs.country_report(_labelled(spark, d))
 
 
+@query(f"""WITH c AS (SELECT {_COUNTRY_SQL} AS code FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 <> 0), s AS (SELECT {_COUNTRY_SQL} AS code FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+p AS (SELECT c.code AS a, s.code AS b FROM c CROSS JOIN s)
+SELECT (SELECT count(code) FROM c) AS engaged, (SELECT count(*) - count(code) FROM c) AS skipped, count(*) FILTER (a <> b) AS foreign_dropped, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS unknown_kept FROM p""")
+def country_counters(spark, d):
+    """What the country filter does for all channels; every seventh has a callsign, which it leaves alone."""
+    n = _t(spark, d, "nation").select("n_nationkey", F.expr(_COUNTRY).alias("name"))
+    channels = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.expr("concat(name, CASE WHEN c_custkey % 7 = 0 THEN ' (KABC)' ELSE '' END)").alias("name"))
+    streams = _t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("name")
+    return jobs.country_counters(channels, streams, Settings())
+
+
 @query("""SELECT c_custkey AS channel_id, CASE WHEN min(code) = max(code) THEN min(code) END AS country FROM customer LEFT JOIN (
   SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'US' WHEN k = 0 THEN 'UK' ELSE 'CA' END AS code FROM nation, (VALUES (0), (1)) t(k) WHERE n_nationkey % 5 <> 4) ON n_nationkey = c_nationkey GROUP BY 1""")
 def channel_country(spark, d):
@@ -434,6 +445,27 @@ def sort_streams(spark, d):
     return jobs.sort_streams(li, streams, Settings())
 
 
+@query("""WITH li AS (SELECT l_suppkey AS channel_id, l_partkey AS stream_id, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2),
+c AS (SELECT p_partkey AS channel_id, p_name AS base, CASE WHEN p_size % 4 = 0 THEN 'WEST' ELSE 'DEFAULT' END AS zone FROM part),
+r AS (SELECT *, CASE WHEN zone = 'DEFAULT' OR base IN (SELECT base FROM c GROUP BY 1 HAVING count(DISTINCT zone) > 1) THEN zone END AS route FROM c),
+s AS (SELECT p_partkey AS stream_id, CASE p_size % 3 WHEN 0 THEN 'WEST' WHEN 1 THEN 'EAST' ELSE 'DEFAULT' END AS szone, p_size % 4 AS prio FROM part),
+m AS (SELECT channel_id, stream_id, o, prio, route, szone, coalesce(route IS NULL OR szone <> CASE route WHEN 'WEST' THEN 'EAST' ELSE 'WEST' END, false) AS keeps FROM li JOIN s USING (stream_id) LEFT JOIN r USING (channel_id)),
+k AS (SELECT *, max(keeps) OVER (PARTITION BY channel_id) AS kept FROM m),
+x AS (SELECT channel_id, stream_id, o, row_number() OVER (PARTITION BY channel_id ORDER BY
+  CASE WHEN route IS NULL THEN 0 WHEN route = 'WEST' THEN CASE szone WHEN 'WEST' THEN 0 WHEN 'DEFAULT' THEN 1 ELSE 2 END ELSE CASE szone WHEN 'WEST' THEN 2 ELSE 0 END END, prio, o, stream_id) AS new FROM k WHERE keeps OR NOT kept),
+l AS (SELECT channel_id, list(stream_id ORDER BY new) AS b FROM x GROUP BY 1), q AS (SELECT channel_id, list(stream_id ORDER BY o, stream_id) AS a FROM li GROUP BY 1)
+SELECT channel_id, stream_id, CAST(new - 1 AS INTEGER) AS ord FROM x WHERE channel_id IN (SELECT channel_id FROM l JOIN q USING (channel_id) WHERE len(a) > 1 AND a <> b)""")
+def sort_streams_by_zone(spark, d):
+    """The job with channels: assigned streams by feed zone, then priority and present order; those of the opposite coast go."""
+    p = _t(spark, d, "part")
+    li = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("channel_id"), F.col("l_partkey").alias("stream_id")).agg(F.min("l_orderkey").alias("ord"))
+    channels = p.select(F.col("p_partkey").alias("channel_id"), F.expr("concat(p_name, CASE WHEN p_size % 4 = 0 THEN ' (W)' ELSE '' END)").alias("name"))
+    name = F.expr("concat(p_name, CASE p_size % 3 WHEN 0 THEN ' (W)' WHEN 1 THEN ' (E)' ELSE '' END)").alias("name")
+    none = F.lit(None).cast("int")
+    streams = p.select(F.col("p_partkey").alias("stream_id"), name, (F.col("p_size") % 4).alias("m3u_priority"), none.alias("width"), none.alias("height"), none.alias("source_fps"))
+    return jobs.sort_streams(li, streams, Settings(), channels=channels)
+
+
 @query("""WITH n AS (SELECT p.*, coalesce(c, 0) AS n_streams FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS place FROM n),
 f AS (SELECT *, min(CASE WHEN n_streams > 0 AND p_size % 9 <> 0 THEN place END) OVER (PARTITION BY p_name) AS first FROM r)
@@ -619,6 +651,23 @@ def report_sections(spark, d):
     return jobs.report_sections(assign.stream_counts(p, counts))
 
 
+@query("SELECT p_partkey AS stream_id, CASE WHEN r_regionkey IS NULL THEN p_name ELSE p_name || ' [' || CASE WHEN r_regionkey = 2 THEN 'm3u-2' ELSE r_name END || ']' END AS label FROM part LEFT JOIN region ON r_regionkey = p_size % 7")
+def stream_labels(spark, d):
+    """Stream names with their account, which some streams lack and some accounts don't name."""
+    streams = _t(spark, d, "part").select(F.col("p_partkey").alias("stream_id"), F.col("p_name").alias("name"), (F.col("p_size") % 7).alias("m3u_account"))
+    accounts = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.expr("CASE WHEN r_regionkey = 2 THEN '' ELSE r_name END").alias("name"))
+    return jobs.labelled_streams(streams, accounts).select("stream_id", "label")
+
+
+@query("""SELECT 'profiles rows' AS check, count(*) AS n, '' AS missing, true AS ok FROM region UNION ALL SELECT 'groups rows', count(*), '', true FROM part
+UNION ALL SELECT 'profiles', count(*) FILTER (has), coalesce(string_agg(w, ', ' ORDER BY w) FILTER (NOT has), ''), count(*) FILTER (NOT has) = 0 FROM (SELECT w, lower(w) IN (SELECT lower(r_name) FROM region) AS has FROM (VALUES ('europe'), ('Asia')) t(w))
+UNION ALL SELECT 'groups', count(*) FILTER (has), coalesce(string_agg(w, ', ' ORDER BY w) FILTER (NOT has), ''), count(*) FILTER (NOT has) = 0 FROM (SELECT w, w IN (SELECT p_type FROM part) AS has FROM (VALUES ('PROMO'), ('promo'), ('Nowhere')) t(w))""")
+def validate_settings(spark, d):
+    """Counts of the host's tables, and the names of settings that these lack."""
+    hosts = {"profiles": _t(spark, d, "region").select(F.col("r_name").alias("name")), "groups": _t(spark, d, "part").select(F.col("p_type").alias("name"))}
+    return jobs.validate(hosts, {"profiles": ["europe", "Asia"], "groups": ["PROMO", "promo", "Nowhere"]})
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN '''' ELSE '' END || substr('=+-@x', p_size % 5 + 1, 1) || p_name AS cell FROM part")
 def csv_guard(spark, d):
     return _t(spark, d, "part").select("p_partkey", labels.csv_guard(F.concat(F.expr("substr('=+-@x', p_size % 5 + 1, 1)"), F.col("p_name"))).alias("cell"))

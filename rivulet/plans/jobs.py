@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,7 @@ def _matched(channels: DataFrame, streams: DataFrame, s: Settings, aliases: Data
     found = assign.union_sources(parts).join(raw.where(rank.alive()), "stream_id")
     if s.restrict_country:
         country = channels.select("channel_id", F.col("country").alias("channel_country")) if "country" in channels.columns else channels.select("channel_id", labels.country_of_name(F.col("name")).alias("channel_country"))
-        group = F.col("channel_group_name") if "channel_group_name" in found.columns else F.lit(None).cast("string")
-        stream_country = F.col("country") if "country" in found.columns else labels.stream_country(group, F.col("name"), s.overrides)
-        found = found.join(country, "channel_id").withColumn("same", labels.same_country(F.col("channel_country"), stream_country)).where("same <> 'FOREIGN' or kind = 'callsign'")
+        found = found.join(country, "channel_id").withColumn("same", labels.same_country(F.col("channel_country"), _stream_country(found, s))).where("same <> 'FOREIGN' or kind = 'callsign'")
     else:
         found = found.withColumn("same", F.lit("UNKNOWN"))
     key = quality_order(found, s, now)
@@ -78,23 +78,32 @@ def match_groups(channels: DataFrame, streams: DataFrame, s: Settings, aliases:
     """
     number = F.col("channel_number").cast("double") if "channel_number" in channels.columns else F.lit(None).cast("double")
     own = channels.select("channel_id", "name", number.alias("channel_number"), *(c for c in ("country",) if c in channels.columns))
-    own = own.withColumn("clean", text.normalize(F.col("name"), s.names()))
+    own = routes(own, s.names())
     country = (F.col("country") if "country" in own.columns else labels.country_of_name(F.col("name"))) if s.restrict_country else None
-    groups = rank.grouped(own, F.col("clean"), labels.paren_callsign(F.col("name")), country)
-    zoned = groups.withColumn("zone", labels.zone(F.col("name"))).withColumn("base", F.lower(F.trim("clean")))
-    routed = rank.repeated_zones(zoned, "base", "zone").withColumn("route", F.when(F.col("is_routed"), F.col("zone")))
+    routed = rank.grouped(own, F.col("clean"), labels.paren_callsign(F.col("name")), country)
     placed = routed.select(F.col("channel_id").alias("id"), "group_key", "route", "channel_number", rank.tag_index(F.col("name")).alias("tag_index"))
     receivers = kept(rank.visible(placed, s.visible_limit, "route").select(F.col("id").alias("channel_id"), "group_key", "place", "route"), "receivers")
     first = receivers.where("place = 1").select("channel_id", "group_key")
     found = kept(_matched(channels.join(first, "channel_id", "left_semi"), streams, s, aliases, titles, stations, now), "matched")
     given = found.join(first, "channel_id").drop("channel_id").join(receivers.select("channel_id", "group_key", "route"), "group_key")
+    return by_zone(given).select("channel_id", "stream_id", "kind", F.col("new_rank").alias("rank"))
+
+
+def routes(channels: DataFrame, o: NameOptions) -> DataFrame:
+    """``channels`` with their ``clean`` name and ``route``: the feed zone, where channels of that name differ in it or the channel has none."""
+    own = channels.withColumn("clean", text.normalize(F.col("name"), o)).withColumn("zone", labels.zone(F.col("name"))).withColumn("base", F.lower(F.trim("clean")))
+    return rank.repeated_zones(own, "base", "zone").withColumn("route", F.when(F.col("is_routed"), F.col("zone"))).drop("zone", "base", "is_routed")
+
+
+def by_zone(given: DataFrame, lead: list[Column] = ()) -> DataFrame:
+    """``given`` (channel_id, route, name, same, rank) with ``new_rank``: after ``lead``, streams of the channel's country come first, then those of its own
+    coast, then by rank. A channel with a route loses the streams of the opposite coast, unless it has no others."""
     given = given.withColumn("stream_zone", labels.zone(F.col("name")))
     opposite = F.when(F.col("route") == "WEST", "EAST").otherwise("WEST")
     given = given.withColumn("keeps", F.col("route").isNull() | (F.col("stream_zone") != opposite))
     given = given.withColumn("kept", F.max("keeps").over(Window.partitionBy("channel_id"))).where("keeps or not kept")
     near = F.when(F.col("route").isNull(), 0).otherwise(labels.zone_rank(F.col("route"), F.col("stream_zone")))
-    order = [F.when(F.col("same") == "SAME", 0).otherwise(1), near, F.col("rank")]
-    return rank.ranked(given, ["channel_id"], order, "new_rank").select("channel_id", "stream_id", "kind", F.col("new_rank").alias("rank"))
+    return rank.ranked(given, ["channel_id"], [*lead, F.when(F.col("same") == "SAME", 0).otherwise(1), near, F.col("rank")], "new_rank")
 
 
 def quality_order(found: DataFrame, s: Settings, now: Column | None = None) -> list[Column]:
@@ -110,15 +119,30 @@ def quality_order(found: DataFrame, s: Settings, now: Column | None = None) -> l
     return rank.quality_key(F.col("width"), F.col("height"), F.col("source_fps"), F.col("m3u_priority"), starved, tier, mbps, audio, s.quality_first)
 
 
-def sort_streams(current: DataFrame, streams: DataFrame, s: Settings, now: Column | None = None) -> DataFrame:
+def sort_streams(current: DataFrame, streams: DataFrame, s: Settings, now: Column | None = None, channels: DataFrame | None = None) -> DataFrame:
     """(channel_id, stream_id, ord): the new order of those channels whose assigned streams aren't in order of quality.
 
-    Streams have the columns that ``matched`` asks for. Equal qualities keep their order; streams that ``streams`` lacks come last.
+    Streams have the columns that ``matched`` asks for. Equal qualities keep their order; streams that ``streams`` lacks come last. With ``channels``
+    (channel_id, name[, country]) zones route the streams as in ``match_groups``, and where matching is restricted to a country, streams of the
+    channel's come first; channels with a callsign have none.
     """
     known = streams.drop("channel_id", "ord").withColumn("known", F.lit(True))
     found = current.select("channel_id", "stream_id", "ord").join(known, "stream_id", "left")
-    key = [F.when(F.col("known"), 0).otherwise(1), *quality_order(found, s, now), F.col("ord"), F.col("stream_id")]
-    return assign.changed(current, rank.ranked(found, ["channel_id"], key).select("channel_id", "stream_id", "rank"))
+    absent = F.when(F.col("known"), 0).otherwise(1)
+    placed = rank.ranked(found, ["channel_id"], [absent, *quality_order(found, s, now), F.col("ord"), F.col("stream_id")])
+    if channels is not None:
+        own = routes(channels.select("channel_id", "name", *(c for c in ("country",) if c in channels.columns)), s.names())
+        country = F.col("country") if "country" in own.columns else labels.country_of_name(F.col("name"))
+        country = F.when(labels.paren_callsign(F.col("name")).isNull(), country) if s.restrict_country else F.lit(None).cast("string")
+        placed = placed.join(own.select("channel_id", "route", country.alias("channel_country")), "channel_id", "left")
+        same = labels.same_country(F.col("channel_country"), _stream_country(placed, s)) if s.restrict_country else F.lit("UNKNOWN")
+        placed = by_zone(placed.withColumn("same", same), [absent]).withColumn("rank", F.col("new_rank"))
+    return assign.changed(current, placed.select("channel_id", "stream_id", "rank"))
+
+
+def _stream_country(streams: DataFrame, s: Settings) -> Column:
+    group = F.col("channel_group_name") if "channel_group_name" in streams.columns else F.lit(None).cast("string")
+    return F.col("country") if "country" in streams.columns else labels.stream_country(group, F.col("name"), s.overrides)
 
 
 def manage_visibility(channels: DataFrame, current: DataFrame, ignored_tags: tuple[str, ...] = ()) -> DataFrame:
@@ -192,6 +216,44 @@ def country_report(streams: DataFrame) -> DataFrame:
     return counts.withColumn("rate", F.col("n_agree") * 100.0 / F.col("n"))
 
 
+def country_counters(channels: DataFrame, streams: DataFrame, s: Settings) -> DataFrame:
+    """One row (engaged, skipped, foreign_dropped, unknown_kept): channels that the country filter acts for, those without a known country, the streams it
+    takes from the former and those of unknown country it leaves them, summed over channels. Channels with a callsign aren't filtered and count nowhere.
+    No channel meets a stream: both are counted by country, of which there are as many as known codes."""
+    country = F.col("country") if "country" in channels.columns else labels.country_of_name(F.col("name"))
+    own = channels.where(labels.paren_callsign(F.col("name")).isNull()).select(country.alias("code")).groupBy("code").agg(F.count("*").alias("channels")).withColumn("streams", F.lit(0).cast("long"))
+    theirs = streams.select(_stream_country(streams, s).alias("code")).groupBy("code").agg(F.count("*").alias("streams")).select("code", F.lit(0).cast("long").alias("channels"), "streams")
+    codes = own.unionByName(theirs).groupBy("code").agg(F.sum("channels").alias("channels"), F.sum("streams").alias("streams"))
+    of = lambda c, known=True: F.coalesce(F.sum(F.when(F.col("code").isNotNull() == known, c)), F.lit(0))
+    engaged, known = of(F.col("channels")), of(F.col("streams"))
+    return codes.agg(
+        engaged.alias("engaged"), of(F.col("channels"), False).alias("skipped"),
+        (engaged * known - of(F.col("channels") * F.col("streams"))).alias("foreign_dropped"), (engaged * of(F.col("streams"), False)).alias("unknown_kept"),
+    )
+
+
+def labelled_streams(streams: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``streams`` with ``label``: the name, with its account's in brackets where that is known."""
+    source = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("m3u-"), F.col("id").cast("string")))
+    own = accounts.where("id is not null").select(F.col("id").alias("m3u_account"), source.alias("source"))
+    kept = streams.drop("source", "label").join(own, "m3u_account", "left")
+    return kept.withColumn("label", labels.with_source(F.col("name"), F.col("source"))).drop("source")
+
+
+def validate(hosts: dict[str, DataFrame], wanted: dict[str, list[str]], any_case: tuple[str, ...] = ("profiles",)) -> DataFrame:
+    """(check, n, missing, ok): the rows of each table of ``hosts``, and which of the ``wanted`` names a table lacks. Names of the tables in ``any_case``
+    are compared without case; profiles have to be named."""
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(f"{t} rows").alias("check"), "n", F.lit("").alias("missing"), F.lit(True).alias("ok")) for t, df in hosts.items()]
+    for t, names in wanted.items():
+        fold = (lambda c: F.lower(c)) if t in any_case else (lambda c: c)
+        asked = hosts[t].sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string").withColumn("key", fold(F.col("asked")))
+        has = hosts[t].select(fold(F.col("name")).alias("key"), F.lit(True).alias("has")).join(F.broadcast(asked.select("key")), "key", "left_semi").distinct()
+        lacks = F.array_join(F.sort_array(F.collect_list(F.when(F.col("has").isNull(), F.col("asked")))), ", ")
+        found = asked.join(has, "key", "left").agg(F.count("has").alias("n"), lacks.alias("missing"))
+        out.append(found.select(F.lit(t).alias("check"), "n", "missing", ((F.col("missing") == "") & F.lit(bool(names) or t != "profiles")).alias("ok")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def probe_queue(current: DataFrame, streams: DataFrame, cache: DataFrame, now: Column, ttl_minutes: float) -> DataFrame:
     """(stream_id, account, turn): assigned streams whose probe is missing or too old, each once. Accounts take turns: those of the first turn are
     probed first, one of each account at a time, by id."""

@@ -15,6 +15,9 @@ TAG_HANDLING = {"strip_all": [True, True, True, True], "keep_regional": [True, F
 #: Threshold of each sensitivity, and the one where none is set.
 THRESHOLDS = {"relaxed": 70, "normal": 80, "strict": 90, "exact": 95}
 
+#: Settings that hold a secret, and those that name accounts.
+SECRETS, ACCOUNTS = ("webhook_url",), ("selected_m3us",)
+
 
 def yes(value, default: bool = False) -> bool:
     if value is None or value == "":
@@ -103,6 +106,20 @@ class Settings:
         )
 
 
+def redacted(raw: dict) -> dict:
+    """The settings for a report: secrets masked, of account names only their number."""
+
+    def shown(key: str, value):
+        if not value or key not in SECRETS + ACCOUNTS:
+            return value
+        if key in SECRETS:
+            return "(set, redacted)"
+        names = [n for n in value.split(",") if n.strip()] if isinstance(value, str) else value if isinstance(value, (list, tuple, set)) else [value]
+        return f"(set, {len(names)} source(s), redacted)"
+
+    return {key: shown(key, raw[key]) for key in sorted(raw)}
+
+
 def eta(seconds: float | None) -> str:
     s = int(max(0, seconds or 0))
     return f"{s}s" if s < 60 else f"{s // 60}m {s % 60}s" if s < 3600 else f"{s // 3600}h {s % 3600 // 60}m"

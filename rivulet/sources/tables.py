@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,19 @@ def channel_databases(spark: SparkSession, paths: list[str], countries: list[str
     return df.where("channel_name <> ''").withColumn("broadcast", F.lower(F.coalesce("type", F.lit(""))).contains("broadcast") | F.col("callsign").isNotNull())
 
 
+def database_catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(id, label, is_default, file) of channel databases: the country of the file's name, what the file calls itself, and whether it is read unless told
+    otherwise, as those of the US and a lone one are. Files that aren't JSON are left out."""
+    head = T.StructType([f for f in DATABASE.fields if f.name != "channels"])
+    df = spark.read.schema(head).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths).withColumn("path", F.input_file_name())
+    df = df.select("*", F.regexp_extract("path", r"([^/]+)$", 1).alias("file")).withColumn("id", F.upper(F.substring_index("file", "_", 1)))
+    named = F.coalesce("country_name", "file")
+    label = F.when(F.col("country_code").isNull(), F.col("file")).when(F.coalesce("version", F.lit("")) != "", F.concat(named, F.lit(" (v"), F.col("version"), F.lit(")"))).otherwise(named)
+    # One row for each file, so one task counts them all.
+    alone = F.count("*").over(Window.partitionBy(F.lit(0))) == 1
+    return df.select("id", label.alias("label"), ((F.col("id") == "US") | alone).alias("is_default"), "file")
+
+
 def stations(spark: SparkSession, path: str) -> DataFrame:
     """The first record of each full and each base callsign: (key, tier, ...), tier 1 full and 2 base."""
     df = spark.read.schema(STATION).option("multiLine", True).json(path).withColumn("ord", F.monotonically_increasing_id())

@@ -163,3 +163,56 @@ def test_helper_columns_leave_a_users_columns_alone(spark):
     assert {(r.k, r.o, r.kept) for r in zoned.collect()} == {(1, 2, "x"), (2, 1, "x")}
     files = spark.createDataFrame([("a", 1, 9000), ("b", 2, 9000), ("c", 8000, 9000)], "path string, mtime long, now long")
     assert {r.path for r in tables.kept_reports(files, newest=1).collect()} == {"c"} and {r.path for r in tables.kept_reports(files, newest=2).collect()} == {"b", "c"}
+
+
+def test_sorting_routes_zones_and_puts_the_channels_country_first(spark):
+    channels = spark.createDataFrame([(1, "HBO"), (2, "HBO (W)"), (3, "Lonely (W)"), (4, "UK: News"), (5, "UK: News (WNCF)")], "channel_id long, name string")
+    streams = _streams(spark, [(10, "HBO WEST", 0), (11, "HBO", 1), (12, "HBO EAST", 2), (20, "US: News", 0), (21, "UK: News", 1)])
+    lists = {1: [10, 11, 12], 2: [12, 11, 10, 99], 3: [12, 10], 4: [20, 21], 5: [21, 20]}
+    current = spark.createDataFrame([(c, x, k) for c, xs in lists.items() for k, x in enumerate(xs)], "channel_id long, stream_id long, ord int")
+
+    def got(**kw):
+        out = {}
+        for r in sorted(jobs.sort_streams(current, streams, settings.Settings(**kw), channels=channels).collect(), key=lambda r: r["ord"]):
+            out.setdefault(r.channel_id, []).append(r.stream_id)
+        return out
+
+    # A lone marked channel keeps both coasts; a stream that is gone stays last; a callsign has no country.
+    assert got() == {1: [11, 12], 2: [10, 11, 99], 3: [10, 12], 5: [20, 21]}
+    assert got(restrict_country=True) == {1: [11, 12], 2: [10, 11, 99], 3: [10, 12], 4: [21, 20], 5: [20, 21]}
+
+
+def test_country_counters(spark):
+    channels = spark.createDataFrame([("UK: a",), ("UK: b",), ("US: c",), ("plain",), ("US: d (WNCF)",)], "name string")
+    streams = spark.createDataFrame([("UK: x",), ("US: y",), ("FR: z",), ("plain",), (None,)], "name string")
+    assert jobs.country_counters(channels, streams, settings.Settings()).collect() == [(3, 1, 6, 6)]
+    assert jobs.country_counters(channels.limit(0), streams.limit(0), settings.Settings()).collect() == [(0, 0, 0, 0)]
+
+
+def test_labels_of_streams(spark):
+    streams = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "c", None), (4, "d", 9)], "stream_id long, name string, m3u_account long")
+    accounts = spark.createDataFrame([(7, "East"), (8, None), (None, "x")], "id long, name string")
+    assert {(r.stream_id, r.label) for r in jobs.labelled_streams(streams, accounts).collect()} == {(1, "a [East]"), (2, "b [m3u-8]"), (3, "c"), (4, "d")}
+
+
+def test_settings_are_held_against_the_tables(spark):
+    hosts = {"profiles": spark.createDataFrame([("Home",), ("Home",)], "name string"), "groups": spark.createDataFrame([("News",)], "name string")}
+    rows = {r.check: (r.n, r.missing, r.ok) for r in jobs.validate(hosts, {"profiles": ["home"], "groups": ["news", "News"]}).collect()}
+    assert rows == {"profiles rows": (2, "", True), "groups rows": (1, "", True), "profiles": (1, "", True), "groups": (1, "news", False)}
+    rows = {r.check: r.ok for r in jobs.validate(hosts, {"profiles": [], "groups": []}).collect()}
+    assert not rows["profiles"] and rows["groups"]
+
+
+def test_redacted_settings():
+    raw = {"webhook_url": "https://x/y", "selected_m3us": "a, b,,", "profile": "p", "more": None}
+    assert settings.redacted(raw) == {"webhook_url": "(set, redacted)", "selected_m3us": "(set, 2 source(s), redacted)", "profile": "p", "more": None}
+    assert settings.redacted({"webhook_url": "", "selected_m3us": ["a"]}) == {"webhook_url": "", "selected_m3us": "(set, 1 source(s), redacted)"}
+
+
+def test_database_catalogue(spark, tmp_path):
+    files = {"US_channels.json": '{"country_code": "US", "country_name": "United States", "version": "2", "channels": []}', "fr_channels.json": '{"country_code": "FR", "country_name": "France"}', "UK_channels.json": '{"x": 1}'}
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    rows = {tuple(r) for r in tables.database_catalogue(spark, [str(tmp_path / f) for f in files]).collect()}
+    assert rows == {("US", "United States (v2)", True, "US_channels.json"), ("FR", "France", False, "fr_channels.json"), ("UK", "UK_channels.json", False, "UK_channels.json")}
+    assert tables.database_catalogue(spark, [str(tmp_path / "fr_channels.json")]).first().is_default
