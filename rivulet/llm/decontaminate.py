@@ -12,11 +12,13 @@ last question mark, or the last sentence where there is none; without a second p
 
 Documents are never shuffled. The index goes to the tasks only in shards of at most ``MOST_POSTINGS``
 postings; a larger benchmark is counted first and takes as many passes over the documents as it
-has shards, with word statistics of the whole benchmark.
+has shards, with word statistics of the whole benchmark. Between two passes the documents are written to the shared folder with what was
+found, so that a task, like the driver, holds one shard at a time. A task holds the bounds of at most ``CELLS`` pairs of a step and a block (and
+of two steps), however long the text.
 
 Defined cases: null or wordless items match nothing; null or empty texts have no leaks; an item part of fewer
 than five words counts as one shingle; equal items are all reported; rows with the same item_id are
-separate items with the same name; texts of any length are read whole; ties of scores are no matter, as all items are returned; an empty table, of
+separate items with the same name; ids of other types than integers keep their type; texts of any length are read whole; ties of scores are no matter, as all items are returned; an empty table, of
 documents or of items, gives no leaks; other columns pass through.
 """
 
@@ -31,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read, returned
+from .common import read, returned, saved
 
 NAME = "op6_decontaminate"
 ORACLE_SQL = None
@@ -43,11 +46,15 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.75, 5
 #: Items in a block, and in a shard of the index that tasks hold at once.
 BLOCK, MOST_POSTINGS = 4, 2_000_000
+#: Most bounds of steps of a text in blocks of items that a task holds.
+CELLS = 4_000_000
 
 WORD = re.compile(r"\w+")
-LEAKS = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
-)
+
+
+def leaks_type(item: T.DataType) -> T.ArrayType:
+    """Type of the leaks whose items' ids have the type ``item``."""
+    return T.ArrayType(T.StructType([T.StructField("item_id", item), *(T.StructField(n, T.DoubleType()) for n in ("score", "question_overlap", "answer_overlap"))]))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -154,12 +161,16 @@ class Index:
         # Bounds of each step over its distinct words; a passage is two steps.
         known = np.flatnonzero(terms != none)
         pairs = np.unique(known // self.longest * none + terms[known])
-        bounds = self.bounds(pairs // none, pairs % none, len(words) // self.longest + 2)
+        steps, at_once = len(words) // self.longest + 2, max(1, CELLS // self.blocks)
         found: dict[int, float] = {}
-        for k in np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= self.threshold - 1e-9):
-            passage = np.unique(terms[k * self.longest : (k + 2) * self.longest])
-            for item, score in self.retrieve(passage[passage != none].tolist()).items():
-                found[item] = max(score, found.get(item, 0.0))
+        for first in range(0, steps - 1, at_once):
+            n = min(at_once + 1, steps - first)
+            own = pairs[np.searchsorted(pairs, first * none) : np.searchsorted(pairs, (first + n) * none)]
+            bounds = self.bounds(own // none - first, own % none, n)
+            for k in first + np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= self.threshold - 1e-9):
+                passage = np.unique(terms[k * self.longest : (k + 2) * self.longest])
+                for item, score in self.retrieve(passage[passage != none].tolist()).items():
+                    found[item] = max(score, found.get(item, 0.0))
         if not found:
             return []
         own = {n: shingles(words) if n >= SHINGLE else set(zip(*(words[k:] for k in range(n)))) for n in {min(SHINGLE, m) for i in found for m in self.items[i][2:5:2]} if n}
@@ -172,10 +183,15 @@ class Index:
         return out
 
 
+def _id_type(bench: DataFrame, id_col: str) -> T.DataType:
+    kind = bench.schema[id_col].dataType
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
+
+
 def shards(bench: DataFrame, id_col: str, text_col: str, threshold: float, most_postings: int):
     """Yields the index's shards, each of at most about ``most_postings`` postings."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    items = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"), tokens.alias("words")).where(F.size("words") > 0)
+    items = bench.select(F.col(id_col).cast(_id_type(bench, id_col)).alias("item_id"), F.col(text_col).alias("text"), tokens.alias("words")).where(F.size("words") > 0)
     total = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.size(F.array_distinct("words"))).alias("postings")).first()
     if not total.n:
         return
@@ -196,10 +212,12 @@ def shards(bench: DataFrame, id_col: str, text_col: str, threshold: float, most_
 def find_leaks(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, most_postings: int = MOST_POSTINGS) -> DataFrame:
     """``df`` with ``leaks``: the benchmark items found in each text, with score and overlaps."""
     passed = [f for f in df.schema.fields if f.name.lower() != "leaks"]
-    schema = T.StructType([*passed, T.StructField("leaks", LEAKS)])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    out = df.select(*(f.name for f in passed)).withColumn("leaks", F.array().cast(LEAKS))
-    for index in shards(bench, item_col, item_text, threshold, most_postings):
+    leaks = leaks_type(_id_type(bench, item_col))
+    schema = T.StructType([*passed, T.StructField("leaks", leaks)])
+    kind = to_arrow_type(leaks)
+    out = df.select(*(f.name for f in passed)).withColumn("leaks", F.array().cast(leaks))
+    for k, index in enumerate(shards(bench, item_col, item_text, threshold, most_postings)):
+        out = saved(out) if k else out
 
         def run(batches, index=index):
             for batch in batches:

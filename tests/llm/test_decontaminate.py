@@ -65,3 +65,27 @@ def test_shards_give_the_same(spark):
     df, bench = spark.read.parquet(path + "documents.parquet"), spark.read.parquet(path + "benchmark.parquet")
     ids = lambda x: sorted((r.doc_id, sorted(k.item_id for k in r.leaks)) for r in x.collect() if r.leaks)
     assert ids(d.find_leaks(df, bench)) == ids(d.find_leaks(df, bench, most_postings=300)) != []
+
+
+def test_one_shard_at_a_time_and_ids_of_text(spark):
+    path = "/root/testdata/sf0.001/"
+    df, bench = spark.read.parquet(path + "documents.parquet"), spark.read.parquet(path + "benchmark.parquet")
+    leaks = lambda x: sorted((r.doc_id, sorted((str(k.item_id), round(k.score, 9), k.question_overlap, k.answer_overlap) for k in r.leaks)) for r in x.collect() if r.leaks)
+    whole = leaks(d.find_leaks(df, bench))
+    named = d.find_leaks(df, bench.withColumn("item_id", F.format_string("item %d", "item_id")))
+    assert [(i, [("item " + k[0], *k[1:]) for k in own]) for i, own in whole] == leaks(named)
+    parts = d.find_leaks(df, bench, most_postings=300)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and leaks(parts) == whole
+
+
+def test_bounds_in_parts_of_a_long_text(monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(6, 30)))) for i in range(200)]
+    index = d.Index(items, {w: rng.random() + 0.05 for w in vocabulary}, 15.0, 0.6)
+    text = " ".join(" ".join(rng.choices(vocabulary, k=rng.randint(0, 90))) + " " + rng.choice(items)[1] for _ in range(40))
+    whole = index.leaks(text)
+    assert len(whole) >= 30
+    for cells in (1, 200, 1000):
+        monkeypatch.setattr(d, "CELLS", cells)
+        assert index.leaks(text) == whole
