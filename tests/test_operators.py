@@ -207,3 +207,17 @@ def test_every_line_takes_part(spark, tmp_path):
     assert found == sorted(duckdb.sql(f"SELECT doc_id, line, match_name FROM ({sql})").fetchall())
     assert [r[:2] for r in found] == [(1, 0), (1, 1), (2, 0), (4, 0)]
     assert entry.queries()["normalize_full"](spark, str(tmp_path)).count() == 4
+
+
+def test_number_matches_meet_by_number(spark):
+    """A group of which each pair was met and read; sides of several lists, names with several numbers or none."""
+    names = ["a 1", "b 1 2", "c 2", "d", "e 22 1", None]
+    rows = [(i, "xy"[i % 2] if i % 11 else None, names[i % 6]) for i in range(1500)]
+    left, right = (spark.createDataFrame(rows, f"{c} int, g string, name string") for c in "lr")
+    numbers = lambda name: {t for t in name.split() if t.isdigit()}
+    some = [(i, g, numbers(n)) for i, g, n in rows if g is not None and n is not None]
+    want = sorted((i, j) for i, g, x in some for j, h, y in some if g == h and (not x or x & y))
+    assert sorted(map(tuple, match.number_matches(left, right, ("g",)).collect())) == want
+    # No pair of a group meets before its numbers are compared: 20,000 names with a number each took all 400 million pairs.
+    many = lambda c: spark.range(20_000).select(F.col("id").alias(c), F.lit("x").alias("g"), F.concat(F.lit("n "), F.col("id").cast("string")).alias("name"))
+    assert match.number_matches(many("l"), many("r"), ("g",)).where("l = r").count() == 20_000
