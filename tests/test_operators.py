@@ -221,3 +221,20 @@ def test_number_matches_meet_by_number(spark):
     # No pair of a group meets before its numbers are compared: 20,000 names with a number each took all 400 million pairs.
     many = lambda c: spark.range(20_000).select(F.col("id").alias(c), F.lit("x").alias("g"), F.concat(F.lit("n "), F.col("id").cast("string")).alias("name"))
     assert match.number_matches(many("l"), many("r"), ("g",)).where("l = r").count() == 20_000
+
+
+def _unshuffled(df):
+    """Whether pairs of ids come about last: no grouping of them follows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate" not in plan[: plan.index("Generate")]
+
+
+def test_alias_pairs_are_distinct_by_name(spark):
+    """Ids with several names, in both forms of a name; no two million pairs are shuffled to be made distinct."""
+    c = spark.range(1200).select((F.col("id") % 1100).alias("channel_id"), F.expr("if(id % 3 = 0, 'Fox', if(id % 3 = 1, ' fox ', 'sky'))").alias("name"))
+    s = spark.range(1800).select((F.col("id") % 1700).alias("stream_id"), F.expr("element_at(array('F-X', 'f x', 'other', 'gone', null), cast(id % 5 + 1 as int))").alias("name"))
+    found = match.alias_matches(c, s, spark.createDataFrame([("fox", "f x"), ("FOX", "fx"), ("fox", "gone")], "canonical string, variant string"), unicode=False)
+    channels, streams = {i % 1100 for i in range(1200) if i % 3 < 2}, {i % 1700 for i in range(1800) if i % 5 in (0, 1, 3)}
+    pairs = found.groupBy("channel_id", "stream_id").count()
+    assert pairs.count() == len(channels) * len(streams) and not pairs.where("count > 1").count()
+    assert _unshuffled(found)
