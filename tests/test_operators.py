@@ -238,3 +238,12 @@ def test_alias_pairs_are_distinct_by_name(spark):
     pairs = found.groupBy("channel_id", "stream_id").count()
     assert pairs.count() == len(channels) * len(streams) and not pairs.where("count > 1").count()
     assert _unshuffled(found)
+
+
+def test_watch_pairs_are_distinct_by_title(spark):
+    """Names and titles are compared once each, however many channels and streams have them, and an id with several counts once."""
+    c = spark.createDataFrame([(i % 600, ["fox news", "news fox", "fox"][i % 3]) for i in range(700)], "channel_id int, name string")
+    t = spark.createDataFrame([(i % 650, ["Live fox NEWS", "news", "the news of fox"][i % 3]) for i in range(700)], "stream_id int, title string")
+    found = match.watch_matches(c, t)
+    want = sorted((x, y) for x in {i % 600 for i in range(700) if i % 3 < 2} for y in {i % 650 for i in range(700) if i % 3 != 1})
+    assert sorted(map(tuple, found.collect())) == want and _unshuffled(found)
