@@ -247,3 +247,13 @@ def test_watch_pairs_are_distinct_by_title(spark):
     found = match.watch_matches(c, t)
     want = sorted((x, y) for x in {i % 600 for i in range(700) if i % 3 < 2} for y in {i % 650 for i in range(700) if i % 3 != 1})
     assert sorted(map(tuple, found.collect())) == want and _unshuffled(found)
+
+
+def test_callsign_pairs_are_distinct_by_name(spark):
+    """Names are split once each, and no pair is shuffled to be made distinct."""
+    c = spark.createDataFrame([(i % 600, ["KABC-TV", "KXYZ", None][i % 3]) for i in range(700)], "channel_id int, callsign string")
+    s = spark.createDataFrame([(i % 650, ["kabc kabc hd", "KXYZ-KABC", "none"][i % 3]) for i in range(700)], "stream_id int, name string")
+    found = match.callsign_matches(c, s)
+    of = lambda n, m, *kinds: {i % m for i in range(n) if i % 3 in kinds}
+    want = {(x, y) for x in of(700, 600, 0) for y in of(700, 650, 0, 1)} | {(x, y) for x in of(700, 600, 1) for y in of(700, 650, 1)}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and _unshuffled(found)
