@@ -257,3 +257,12 @@ def test_callsign_pairs_are_distinct_by_name(spark):
     of = lambda n, m, *kinds: {i % m for i in range(n) if i % 3 in kinds}
     want = {(x, y) for x in of(700, 600, 0) for y in of(700, 650, 0, 1)} | {(x, y) for x in of(700, 600, 1) for y in of(700, 650, 1)}
     assert sorted(map(tuple, found.collect())) == sorted(want) and _unshuffled(found)
+
+
+def test_names_are_normalised_once_each(spark):
+    """The length filter stays above the grouping by name; below it, it normalised the name of every row."""
+    rows = spark.range(100).select(F.col("id").alias("stream_id"), F.element_at(F.array(*map(F.lit, ("fox news", "a"))), (F.col("id") % 2 + 1).cast("int")).alias("name"))
+    names = match.distinct_names(rows, "stream_id")
+    plan = names._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[plan.index("Aggregate") :]
+    assert [(r.name, r.ord, r.clean) for r in names.collect()] == [("fox news", 0, "fox news")]
