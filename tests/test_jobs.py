@@ -216,3 +216,13 @@ def test_database_catalogue(spark, tmp_path):
     rows = {tuple(r) for r in tables.database_catalogue(spark, [str(tmp_path / f) for f in files]).collect()}
     assert rows == {("US", "United States (v2)", True, "US_channels.json"), ("FR", "France", False, "fr_channels.json"), ("UK", "UK_channels.json", False, "UK_channels.json")}
     assert tables.database_catalogue(spark, [str(tmp_path / "fr_channels.json")]).first().is_default
+
+
+def test_names_of_channels_are_read_once_each(spark):
+    """Zones, clean names and callsigns are joined to the rows by name; a row's name was read by itself. Nulls have their values too."""
+    rows = spark.range(60).select(F.col("id").alias("channel_id"), F.element_at(F.array(*map(F.lit, ("Fox (W)", "Fox", None))), (F.col("id") % 3 + 1).cast("int")).alias("name"))
+    own = jobs.routes(rows, settings.Settings().names())
+    assert "regexp_replace" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert own.count() == 60 and {tuple(r) for r in own.select("name", "clean", "route").distinct().collect()} == {("Fox (W)", "Fox", "WEST"), ("Fox", "Fox", "DEFAULT"), (None, None, "DEFAULT")}
+    zones = {tuple(r) for r in jobs.with_zone(rows).select("name", "stream_zone").distinct().collect()}
+    assert zones == {("Fox (W)", "WEST"), ("Fox", "DEFAULT"), (None, "DEFAULT")}
