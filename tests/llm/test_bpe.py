@@ -79,3 +79,24 @@ def test_invalid_bytes_decode_as_in_the_library(spark, library):
     ids = [library.encode("日本", add_special_tokens=False).ids[:1], [447], [447, 64, 250]]
     df = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(df).collect()} == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)}
+
+
+def test_a_worker_holds_little_more_than_its_texts():
+    """Two tasks' workers share an executor with its JVM. 8 MB of many different words; what the encoder itself allocates at its peak."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [" ".join(f"{rng.getrandbits(24):x}{rng.choice('aeiou')}{rng.getrandbits(12):x}" for _ in range(180)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})
+    path = bpe.default_vocabulary()
+    bpe.vocabulary(path)
+    run = bpe._encoding("text", "ids", "decoded", path, bpe.REMEMBERED, bpe.GROUP)
+    tracemalloc.start()
+    try:
+        n = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(rows) and peak < 120 << 20, peak
