@@ -111,14 +111,15 @@ class Page:
         lower = source.lower()
 
         def text(raw: str) -> None:
-            words = " ".join(entities.unescape(raw).split()) if raw else ""
-            if words or raw:
+            if raw:
+                raw = entities.unescape(raw)
+                words = " ".join(raw.split())
                 _, around, shut, inside, container, link = stack[-1]
                 token = xxh64_intdigest(words, around & (2**64 - 1)) if words else 0
                 self.shut_by[shut] = self.shut_by.get(shut, 0) + len(words)
                 if words and not shut:
                     self.tokens.append((token, around, "text", words if inside else ""))
-                self.texts.append((block, token, entities.unescape(raw), shut, inside, container, link))
+                self.texts.append((block, token, raw, shut, inside, container, link))
 
         while at < len(source):
             m = MARKUP.search(source, at)
@@ -127,7 +128,8 @@ class Page:
                 cut = re.search(r"<(?:[a-zA-Z/!?][^<>]*)?\Z", rest)  # a tag that the page's end cuts
                 text(rest[: cut.start()] if cut else rest)
                 break
-            text(source[at : m.start()])
+            if m.start() > at:
+                text(source[at : m.start()])
             at = m.end()
             name = (m[2] or "").lower()
             if not name:
@@ -266,7 +268,7 @@ def host_of(url_col: str):
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, class, tokens, labels, n_pages, nested_in): the valid equivalence classes of each host."""
-    found = tokens(pages, id_col, url_col, html_col)
+    found = saved(tokens(pages, id_col, url_col, html_col))  # three steps below need them; reading pages is the dear part
     vectors = found.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n_pages"), F.min("around").alias("around"), F.min("label").alias("label"),
         F.max("size").alias("size"), F.max("sketch").alias("sketch"),

@@ -111,3 +111,10 @@ def test_string_ids_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "page_id string, url string, html string").selectExpr("*", "1 AS template_host", "2 AS Template_Tokens", "3 AS main_text")
     out = html.extract(df)
     assert {(r.page_id, r.main_text, r.template_host, r.Template_Tokens) for r in out.collect()} == {(f"p{k}", f"Text {k}", 1, 2) for k in range(4)}
+
+
+def test_pages_are_read_once_for_the_template(spark):
+    """Three steps need the tokens of all pages; nothing reads pages again, and the extraction reads them a second time only."""
+    df = pages(spark, [(i, "https://a.org/x", f"<nav>Home</nav><article><p>Text {i} of its own.</p></article>") for i in range(6)])
+    assert "MapInArrow" not in html.templates(df)._jdf.queryExecution().executedPlan().toString()
+    assert html.extract(df)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
