@@ -104,3 +104,29 @@ def test_sets_of_like_size_just_at_the_threshold(spark):
     words = [f"t{k}" for k in range(400)]
     rows = [(k, " ".join(words[k:] + [f"own{k}_{x}" for x in range(k)])) for k in range(0, 90, 3)] + [(1000 + n, " ".join(words[:n])) for n in range(1, 40)]
     assert {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows))).items()} == brute(rows)
+
+
+def edited(rng, base, edits):
+    w = list(base)
+    for k in rng.sample(range(len(w)), edits):
+        w[k] = f"e{rng.random()}"
+    return " ".join(w)
+
+
+def test_a_group_below_the_threshold_is_not_listed_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"g{k}" for k in range(300)]
+    rows = [(i, edited(rng, base, 20)) for i in range(40)] + [(100 + i, edited(rng, base[:90], 1)) for i in range(9)]
+    tried, verified = [], j._verified
+    monkeypatch.setattr(j, "_verified", lambda docs, firsts, pairs: tried.append(pairs.count()) or verified(docs, firsts, pairs))
+    assert {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows), rounds=0)).items()} == brute(rows)
+    assert 8 <= sum(tried) < 100  # 40 * 39 / 2 pairs share prefix tokens
+
+
+def test_groups_whose_parities_have_two_lengths(spark):
+    rng = random.Random(12)
+    base = [f"l{k}" for k in range(1100)]
+    rows = [(i, edited(rng, base[: rng.choice((900, 1028, 1029, 1100))], rng.choice((5, 20, 25, 30, 40)))) for i in range(60)]
+    expected = brute(rows)
+    assert 1 < len({c for _, c in expected.values()}) < 60
+    assert {i: (r.n_shingles, r.component_id) for i, r in collected(j.join(docs(spark, rows), rounds=0)).items()} == expected
