@@ -266,3 +266,20 @@ def test_names_are_normalised_once_each(spark):
     plan = names._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan[plan.index("Aggregate") :]
     assert [(r.name, r.ord, r.clean) for r in names.collect()] == [("fox news", 0, "fox news")]
+
+
+def test_a_task_of_assigned_streams_does_not_grow_with_the_table(spark, monkeypatch):
+    from rivulet.operators import columns
+    from rivulet.plans import catalogue
+
+    monkeypatch.setattr(columns, "ROWS", 1000)
+    current = catalogue._current(spark, "/root/testdata/sf0.01")
+    counts = [r["count"] for r in current.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert max(counts) < sum(counts) / 8  # there are four shuffle partitions
+
+
+def test_streams_are_appended_also_to_channels_without_any(spark):
+    current = spark.createDataFrame([(1, 5, 0), (None, 4, 0), (3, None, 0)], "channel_id int, stream_id int, ord int")
+    new = spark.createDataFrame([(1, 5, 1), (1, 9, 2), (4, 5, 1), (None, 4, 1), (3, None, 1)], "channel_id int, stream_id int, rank int")
+    found = sorted(map(tuple, assign.appended(current, new).collect()), key=str)
+    assert found == sorted([(1, 5, 0), (None, 4, 0), (3, None, 0), (1, 9, 1), (4, 5, 0), (None, 4, 0), (3, None, 0)], key=str)
