@@ -1,4 +1,6 @@
 import corpus_pipeline as p
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_decontaminate import brute as leaks
 from test_jaccard import brute as near
 
@@ -41,3 +43,16 @@ def test_each_stage_against_its_definition(spark):
     assert {r.doc_id for r in last} == set(before) and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
     whole = p.run(spark, path)
     assert {(r.doc_id, r.n_tokens) for r in whole.collect()} == {(r.doc_id, r.n_tokens) for r in last}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    own = spark.newSession()
+    docs = own.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = own.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    sizes = lambda: [r.n for r in wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert max(sizes()) > 10_000_000
+    p.encoded(own, docs, "/root/testdata/sf0.001")
+    assert max(sizes()) < 2_000_000 and sum(sizes()) > 12_000_000
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "5m")  # the session's own stays
+    p.encoded(own, docs, "/root/testdata/sf0.001")
+    assert max(sizes()) > 4_000_000
